@@ -38,7 +38,7 @@ class LmParams:
     pairs: int = 1 << 14
     inner: int = 1 << 14
     rate: float = 0.25
-    batch: int = 8192
+    batch: int = 2048
     block: int = 256
     flush: int = 400_000
 
@@ -129,8 +129,9 @@ def _digits(text: bytes, v: Vocabulary, p: LmParams) -> tuple[np.ndarray, np.nda
     leaf = v.leaf[number] if len(v.leaf) else np.zeros(len(said), np.int32)
     rare = np.flatnonzero(number < 0)
     own = [said[i] for i in rare]
-    half = p.leaves // 2
-    leaf[rare] = [half + zlib.crc32(w[:3]) % (p.leaves - half) for w in own]
+    half, others = p.leaves // 2, p.leaves - p.leaves // 2
+    crc = zlib.crc32
+    leaf[rare] = [half + crc(w[:3]) % others for w in own]
     # A context word is itself among the first words, else its leaf.
     first = p.contexts - p.leaves - 1
     context = np.where((number >= 0) & (number < first), number, first + leaf)
@@ -171,9 +172,10 @@ def first_weights(v: Vocabulary, p: LmParams) -> Weights:
 
 
 def _softmax(odds: np.ndarray) -> np.ndarray:
-    odds -= odds.max(1, keepdims=True)
+    """Row by row, in place; odds beyond 60 in size, which sums of a few bounded updates don't reach, are held there."""
+    np.clip(odds, -60, 60, out=odds)
     np.exp(odds, out=odds)
-    odds /= odds.sum(1, keepdims=True)
+    odds /= (odds @ np.ones(odds.shape[1], odds.dtype))[:, None]
     return odds
 
 
@@ -190,13 +192,20 @@ def _probabilities(w: Weights, rows: np.ndarray, before: np.ndarray, leaf: np.nd
 
 def _push(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
     """Add each row's summed gradient, over the root of its occurrences, to the table."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16) if len(table) <= 1 << 16 else rows, kind="stable")  # 16 bits are sorted by radix
     ranked = rows[order]
     edge = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
     n = np.diff(np.concatenate([edge, [len(ranked)]]))
     own = ranked[edge]
-    table[own] += rate * np.add.reduceat(gradient[order], edge, axis=0) / np.sqrt(n)[:, None].astype(np.float32)
     seen[own] += n
+    alone = n == 1
+    table[own[alone]] += rate * gradient[order[edge[alone]]]
+    if not alone.all():
+        several = np.flatnonzero(~alone)
+        shared = np.repeat(~alone, n)
+        starts = np.concatenate([[0], np.cumsum(n[several])[:-1]])
+        sums = np.add.reduceat(gradient[order[shared]], starts, axis=0)
+        table[own[several]] += sums * (rate / np.sqrt(n[several])).astype(np.float32)[:, None]
 
 
 def _update(w: Weights, seen: tuple[np.ndarray, np.ndarray], rows: np.ndarray, before: np.ndarray, leaf: np.ndarray, p: LmParams) -> None:
