@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from . import ann_search, exact_dedup, line_dedup, maxent_lm, mixing, near_dup, packing, quality, secret_scan, url_filter
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
-    """Where a public vocabulary lies; it is read there and never copied."""
+def vocabulary() -> packing.Vocabulary:
+    """Where a public vocabulary and its ranks lie; they are read there and never copied."""
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    return packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -59,7 +59,7 @@ def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer_path())
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), vocabulary())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

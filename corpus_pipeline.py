@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from clickloom.llm import exact_dedup, mixing, near_dup, packing, quality
-from clickloom.llm.queries import tokenizer_path
+from clickloom.llm.queries import vocabulary
 from clickloom.session import stored
 
 
@@ -34,7 +34,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents and their places in sequences of 2048 tokens."""
-    return packing.pack_documents(docs, tokenizer_path())
+    return packing.pack_documents(docs, vocabulary())
 
 
 STAGES = [

@@ -1,11 +1,12 @@
 import random
 import zlib
 from collections import Counter
+from dataclasses import astuple
 
 import numpy as np
 
 from clickloom.llm.packing import CapacityTree, Encoder, best_fit_runs, cut, pack_documents
-from clickloom.llm.queries import tokenizer_path
+from clickloom.llm.queries import vocabulary
 
 
 def sequential_best_fit(lengths, capacity):
@@ -53,9 +54,10 @@ def test_tree_finds_the_tightest_room():
 
 
 def test_encoder_equals_the_library(spark):
-    encoder = Encoder(tokenizer_path())
+    encoder = Encoder(*astuple(vocabulary()))
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    texts += ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "don't we'll 've", "x\u00a0y\u2003z", "a\tb\r\nc", "é日本 語\u3000x", "1 2\n3", "<|endoftext|>", "a <|endoftext|> b", "\na", "a\n", "it's\n's 's", "a\x1cb c", "🙂 🙂\n🙂", "\u0085a b"]
+    texts += ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "don't we'll 've", "x\u00a0y\u2003z", "a\tb\r\nc", "é日本 語\u3000x", "1 2\n3", "<|endoftext|>", "a <|endoftext|> b", "\na", "a\n", "it's\n's 's", "a\x1cb c", "🙂 🙂\n🙂", "\u0085a b", " " * 150_000, "a" + " " * 199_990 + "b", "\n" * 200_000, "ab" * 100_000, " x" * 120_000]
+    texts += ["".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}" for c in range(lo, lo + 256) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x30000, 256)]
     for text in texts:
         want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want, text
@@ -64,8 +66,8 @@ def test_encoder_equals_the_library(spark):
 def test_pieces_cover_documents_and_sequences_without_gaps(spark):
     rows = [(1, None), (2, ""), (3, "word " * 9000), (3, "again"), (None, "x"), (4, "tail " * 2047), (5, "a b c"), (6, "a b c")]
     docs = spark.createDataFrame([(i, t, 5) for i, t in rows], "doc_id long, text string, offset int").union(spark.range(100, 400).selectExpr("id", "repeat('w ', cast(id AS int))", "1"))
-    out = pack_documents(docs.repartition(5), tokenizer_path(), keep_ids=True).collect()
-    encoder = Encoder(tokenizer_path())
+    out = pack_documents(docs.repartition(5), vocabulary(), keep_ids=True).collect()
+    encoder = Encoder(*astuple(vocabulary()))
     by_doc: dict = {}
     for r in out:
         by_doc.setdefault(r["doc_id"], []).append(r)
@@ -83,5 +85,5 @@ def test_pieces_cover_documents_and_sequences_without_gaps(spark):
             at += length
         assert at <= 2048
     assert len(seqs) == len(sequential_best_fit([r["length"] for r in out], 2048))
-    assert pack_documents(docs.limit(0), tokenizer_path()).count() == 0
+    assert pack_documents(docs.limit(0), vocabulary()).count() == 0
     assert cut(2048, 2048) == [(0, 2048)] and cut(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)]
