@@ -12,7 +12,8 @@ from .skew import join_groups, salts
 VERIFY_ROWS = 2000
 #: Groups whose digests (32 bytes each) are broadcast; more of them are shuffled.
 BROADCAST_GROUPS = 500_000
-_BLOOM = {"parquet.bloom.filter.enabled#digest": "true"}
+#: The filter of a file is as large as its digests need, not as the largest allowed.
+_BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
 
 
 class DigestIndex:
