@@ -24,7 +24,7 @@ class AnnParams:
     eta: float = 4.0
     sample: int = 8192
     rounds: int = 6
-    rerank: int = 120
+    rerank: int = 200
     block: int = 16384
     queries: int = 4096
     at_once: int = 64
