@@ -18,7 +18,7 @@ from .wordhash import mix, overlap, shingle_sets
 #: Ids (8 bytes each) that are broadcast to pick texts; more of them are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Members of a hub, or of one side of a bucket, that one task compares.
-HUB_ROWS, BLOCK_ROWS = 1000, 2048
+HUB_ROWS, BLOCK_ROWS = 250, 1024
 
 
 @dataclass(frozen=True)
@@ -185,7 +185,8 @@ def _crossing(bands: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataF
     """Links within buckets whose members aren't in one component yet: all pairs across components that share a band are compared there.
 
     A bucket is dealt in blocks of BLOCK_ROWS, each pair of blocks to one task; a pair is compared in the first band that it shares, pruned
-    by signatures, and verified exactly unless its ends have been linked in the task before.
+    by signatures, and verified exactly unless its ends have been linked in the task before. What is stored of a bucket is
+    its members, never its pairs.
     """
     labelled = bands.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
     open_ = labelled.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band", "n")
@@ -193,29 +194,42 @@ def _crossing(bands: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataF
     if open_.isEmpty():
         return None
     rows = stored(labelled.join(open_, "band"), "open-rows")
-    ids = stored(rows.select("id").distinct(), "open-ids")
-    texts = stored(_node_texts(docs, ids).join(nodes.select("id", "sig"), "id"), "open-texts")
     parts = salts(F.col("n"), BLOCK_ROWS)
     block = F.pmod(F.xxhash64("id"), parts).cast("int")
     cells = rows.withColumn("parts", parts).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = cells.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label")
-    dealt = cells.join(texts, "id").select("band", "low", "high", "block", "id", "label", "sig", "text").repartition("band", "low", "high").sortWithinPartitions("band", "low", "high", "id")
-    steps = least_matches(p)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (band, low, high), rows in _cells(batches):
-            links = _cell_links(rows, band, low != high, p, steps)
+    steps, names, schema = least_matches(p), cells.columns, cells.schema
+
+    def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band, low, high), own in _cells(batches):
+            found = _cell_pairs(own, band, low != high, p, steps)
+            on = sorted({i for _, *pair in found for i in pair})
+            if on:
+                yield pa.RecordBatch.from_arrays([pa.array([band] * len(on), pa.int64()), *[pa.array([x] * len(on), pa.int32()) for x in (low, high)], pa.array([own[i][0] for i in on], pa.int32()), *[pa.array([own[i][c] for i in on], pa.int64()) for c in (1, 2)]], names)
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (band, low, high), own in _cells(batches):
+            links = _cell_links(own, _cell_pairs(own, band, low != high, p, steps), p)
             if links:
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["hub", "id"])
 
-    return dealt.mapInArrow(run, "hub long, id long")
+    # First the members with a partner that isn't pruned, by signatures alone; only their texts are then dealt.
+    near = stored(_by_cell(cells.join(nodes.select("id", "sig"), "id"), "sig").mapInArrow(paired, schema), "open-members")
+    ids = stored(near.select("id").distinct(), "open-ids")
+    texts = _node_texts(docs, ids).join(nodes.select("id", "sig"), "id")
+    return _by_cell(near.join(texts, "id"), "sig", "text").mapInArrow(linked, "hub long, id long")
+
+
+def _by_cell(df: DataFrame, *more: str) -> DataFrame:
+    cell = ["band", "low", "high"]
+    return df.select(*cell, "block", "id", "label", *more).repartition(*cell).sortWithinPartitions(*cell, "id")
 
 
 def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tuple]]]:
     """Runs of rows with one (band, low, high), across batches."""
     key, held = None, []
     for batch in batches:
-        cols = [batch.column(c).to_pylist() for c in range(8)]
+        cols = [c.to_pylist() for c in batch.columns]
         for row in zip(*cols, strict=True):
             if row[:3] != key:
                 if len(held) > 1:
@@ -226,7 +240,8 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tupl
         yield key, held
 
 
-def _cell_links(rows: list[tuple], band: int, across: bool, p: NearDupParams, steps: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def _cell_pairs(rows: list[tuple], band: int, across: bool, p: NearDupParams, steps: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(equal hashes, i, j) of the pairs of rows(block, id, label, sig, ...) of different components that aren't pruned, most alike first."""
     block = np.array([r[0] for r in rows])
     label = np.array([r[2] for r in rows])
     if (label == label[0]).all():
@@ -247,7 +262,12 @@ def _cell_links(rows: list[tuple], band: int, across: bool, p: NearDupParams, st
         for x in j:
             found.append((int((sig[i] == sig[x]).sum()), i, int(x)))
     found.sort(reverse=True)
-    parent = {int(x): int(x) for x in label}
+    return found
+
+
+def _cell_links(rows: list[tuple], found: list[tuple[int, int, int]], p: NearDupParams) -> list[tuple[int, int]]:
+    """The pairs of found that are similar, unless their components have been linked by pairs before."""
+    parent = {r[2]: r[2] for r in rows}
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -258,7 +278,7 @@ def _cell_links(rows: list[tuple], band: int, across: bool, p: NearDupParams, st
     sets: dict[int, np.ndarray] = {}
     links = []
     for _, i, j in found:
-        a, b = root(int(label[i])), root(int(label[j]))
+        a, b = root(rows[i][2]), root(rows[j][2])
         if a == b:
             continue
         for x in (i, j):
