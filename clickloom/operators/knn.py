@@ -86,7 +86,8 @@ def candidates(evolving: DataFrame, history: DataFrame, p: KnnParams = CANONICAL
     """
     lists = postings(history, p.m) if p.m else history.select("SessionId", "ItemId").distinct().join(history.groupBy("SessionId").agg(F.max("Time").alias("Time")), "SessionId")
     lists = lists.select(F.col("ItemId").alias("item"), F.col("SessionId").alias("sid"), F.col("Time").alias("time"))
-    shared = evolving_weights(evolving, p).join(lists, "item")
+    # One shuffle by eid serves the sums below and the windows after them; a session's rows are bounded by m for each of its items.
+    shared = evolving_weights(evolving, p).join(lists, "item").repartition("eid")
     pairs = shared.groupBy("eid", "sid").agg((F.sum("w") / F.max("by")).alias("sim"), F.min("step").alias("step"), F.max("time").alias("time"))
     if p.m is None:
         return pairs
@@ -108,16 +109,20 @@ def item_scores(near: DataFrame, history: DataFrame, p: KnnParams = CANONICAL) -
     items = postings(history, p.m) if p.surviving_items and p.m else history
     items = items.select(F.col("SessionId").alias("sid"), F.col("ItemId").alias("item")).distinct()
     part = DECAYS[p.decay](F.col("step")) * F.col("sim")
-    sums = near.join(items, "sid").groupBy("eid", "item").agg(F.sum(part).alias("s"))
     idf = item_idf(history, p.idf).select(F.col("ItemId").alias("item"), "idf")
+    # The idf joins the history, not the sums, and the rows are shuffled by eid once for the sums and the ranks.
+    rows = near.join(items.join(idf, "item"), "sid").repartition("eid")
+    sums = rows.groupBy("eid", "item").agg(F.sum(part).alias("s"), F.max("idf").alias("idf"))
     score = F.col("s") * F.col("idf") if p.idf_weight is None else F.col("s") + F.col("s") * F.col("idf") * F.lit(p.idf_weight)
-    return sums.join(idf, "item").select("eid", "item", score.alias("score"))
+    return sums.select("eid", "item", score.alias("score"))
 
 
 def without_seen(scores: DataFrame, evolving: DataFrame, remind: bool) -> DataFrame:
     """Scores without the evolving session's last item, or (remind=False) without any of its items."""
-    seen = evolving.select("eid", "item").distinct() if not remind else evolving.groupBy("eid").agg(F.max_by("item", "pos").alias("item"))
-    return scores.join(seen, ["eid", "item"], "left_anti")
+    if not remind:
+        return scores.join(evolving.select("eid", "item").distinct(), ["eid", "item"], "left_anti")
+    last = evolving.groupBy("eid").agg(F.max_by("item", "pos").alias("__last"))
+    return scores.join(last, "eid").filter("item != __last").drop("__last")
 
 
 def top_items(scores: DataFrame, n: int) -> DataFrame:
