@@ -171,23 +171,43 @@ def first_weights(v: Vocabulary, p: LmParams) -> Weights:
     return Weights(np.zeros((p.rows, p.classes), np.float32), np.zeros((p.inner, p.members), np.float32), np.log(mass.sum(1) / mass.sum()).astype(np.float32), np.log(mass / mass.sum(1, keepdims=True)).astype(np.float32))
 
 
-def _softmax(odds: np.ndarray) -> np.ndarray:
-    """Row by row, in place; odds beyond 60 in size, which sums of a few bounded updates don't reach, are held there."""
-    np.clip(odds, -60, 60, out=odds)
-    np.exp(odds, out=odds)
-    odds /= (odds @ np.ones(odds.shape[1], odds.dtype))[:, None]
-    return odds
-
-
-def _probabilities(w: Weights, rows: np.ndarray, before: np.ndarray, leaf: np.ndarray, p: LmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    cls = leaf // p.members
-    odds = w.outer[rows[:, 0]]
+def _odds(w: Weights, rows: np.ndarray, before: np.ndarray, cls: np.ndarray, p: LmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log odds of all classes and of the class's members, and the rows of the inner weights; held within 60, which sums of a few bounded updates don't reach."""
+    outer = np.take(w.outer, rows[:, 0], axis=0)
     for k in range(1, rows.shape[1]):
-        odds += w.outer[rows[:, k]]
-    outer = _softmax(odds + w.class_bias)
+        outer += np.take(w.outer, rows[:, k], axis=0)
+    outer += w.class_bias
     inner_rows = _inner_rows(before, cls, p)
-    inner = _softmax(w.inner[inner_rows] + w.member_bias[cls])
-    return outer, inner, cls, inner_rows
+    inner = np.take(w.inner, inner_rows, axis=0)
+    inner += np.take(w.member_bias, cls, axis=0)
+    for odds in (outer, inner):
+        np.clip(odds, -60, 60, out=odds)
+    return outer, inner, inner_rows
+
+
+def _row_sums(x: np.ndarray) -> np.ndarray:
+    return x @ np.ones(x.shape[1], x.dtype)
+
+
+def _log_probability(w: Weights, rows: np.ndarray, before: np.ndarray, leaf: np.ndarray, p: LmParams) -> np.ndarray:
+    """log10 P(leaf | context) of each token."""
+    cls, at = leaf // p.members, np.arange(len(leaf))
+    outer, inner, _ = _odds(w, rows, before, cls, p)
+    own = outer[at, cls].astype(np.float64) + inner[at, leaf % p.members]
+    for odds in (outer, inner):
+        own -= np.log(_row_sums(np.exp(odds, out=odds)).astype(np.float64))
+    return own / np.log(10)
+
+
+def _gradients(w: Weights, rows: np.ndarray, before: np.ndarray, leaf: np.ndarray, p: LmParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the log probability by the odds: what occurred less what was expected, for classes and members."""
+    cls, at = leaf // p.members, np.arange(len(leaf))
+    outer, inner, inner_rows = _odds(w, rows, before, cls, p)
+    for odds, own in ((outer, cls), (inner, leaf % p.members)):
+        np.exp(odds, out=odds)
+        odds /= -_row_sums(odds)[:, None]
+        odds[at, own] += 1
+    return outer, inner, inner_rows
 
 
 def _push(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.ndarray, rate: float) -> None:
@@ -209,12 +229,7 @@ def _push(table: np.ndarray, seen: np.ndarray, rows: np.ndarray, gradient: np.nd
 
 
 def _update(w: Weights, seen: tuple[np.ndarray, np.ndarray], rows: np.ndarray, before: np.ndarray, leaf: np.ndarray, p: LmParams) -> None:
-    outer, inner, cls, inner_rows = _probabilities(w, rows, before, leaf, p)
-    at = np.arange(len(leaf))
-    outer *= -1
-    outer[at, cls] += 1
-    inner *= -1
-    inner[at, leaf % p.members] += 1
+    outer, inner, inner_rows = _gradients(w, rows, before, leaf, p)
     for k in range(rows.shape[1]):
         _push(w.outer, seen[0], rows[:, k], outer, p.rate)
     _push(w.inner, seen[1], inner_rows, inner, p.rate)
@@ -318,9 +333,7 @@ def _partial_scores(docs: DataFrame, v: Vocabulary, w: Weights, p: LmParams) ->
                 model = np.empty(len(leaf))
                 for lo in range(0, len(leaf), p.batch):
                     part = slice(lo, lo + p.batch)
-                    outer, inner, cls, _ = _probabilities(weights, rows[part], before[part], leaf[part], p)
-                    i = np.arange(len(cls))
-                    model[part] = np.log10(outer[i, cls].astype(np.float64) + 1e-30) + np.log10(inner[i, leaf[part] % p.members].astype(np.float64) + 1e-30)
+                    model[part] = _log_probability(weights, rows[part], before[part], leaf[part], p)
                 number = np.concatenate([h[0] for h in held])
                 known = np.where(number >= 0, log_count[number], 0.0)
                 within = np.where(leaf < single, 0.0, known - words.denominator[leaf])

@@ -41,8 +41,7 @@ def test_probabilities_of_all_words_and_the_unknown_one_sum_to_one(spark):
     rows, before = lm._features([lm._digits(b"the cat", v, p)[2]], p)
     total, half = 0.0, p.leaves // 2
     leaves = np.arange(p.leaves)
-    outer, inner, cls, _ = lm._probabilities(w, np.repeat(rows[1:2], p.leaves, 0), np.repeat(before[1:2], p.leaves), leaves, p)
-    leaf = outer[leaves, cls] * inner[leaves, leaves % p.members]
+    leaf = 10 ** lm._log_probability(w, np.repeat(rows[1:2], p.leaves, 0), np.repeat(before[1:2], p.leaves), leaves, p)
     assert abs(leaf.sum() - 1) < 1e-4
     for x in range(half, p.leaves):
         own = [n for word, n in c.items() if v.number.get(word, half) >= half and half + zlib.crc32(word[:3]) % (p.leaves - half) == x]
