@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .arrow import map_batches
 
 
 @dataclass(frozen=True)
@@ -176,7 +177,7 @@ def nearest(embeddings: DataFrame, params: AnnParams | None = None) -> DataFrame
             q, i, score = _search_block(ids[asks], x[asks], ids[own], x[own], codes, centres, p)
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(score)], ["query_id", "vec_id", "score"])
 
-    found = stored(stream.mapInArrow(run, "query_id long, vec_id long, score double"), "nearest-by-block")
+    found = stored(map_batches(stream, run, "query_id long, vec_id long, score double"), "nearest-by-block")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), "vec_id"))), 1, p.neighbours)
     merged = found.groupBy("query_id").agg(best.alias("best"))
     return merged.select("query_id", F.posexplode("best").alias("at", "b")).select("query_id", (F.col("at") + 1).cast("int").alias("rank"), F.col("b.vec_id").alias("vec_id"), (-F.col("b.s")).alias("score"))

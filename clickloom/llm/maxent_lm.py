@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .arrow import map_batches
 
 _FNV = np.uint64(0x9E3779B97F4A7C15)
 
@@ -75,7 +76,7 @@ def token_counts(train: DataFrame, p: LmParams) -> DataFrame:
                     held.clear()
         yield _counted(held)
 
-    return train.select("text").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return map_batches(train.select("text"), run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _counted(held: Counter) -> pa.RecordBatch:
@@ -270,8 +271,8 @@ def train(docs: DataFrame, v: Vocabulary, p: LmParams) -> Weights:
                     weighted = table[b : b + p.block][on] * count[on, None]
                     yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([b], pa.int32()), pa.array([on.astype(np.int32).tobytes()], pa.binary()), pa.array([count[on].astype(np.float64).tobytes()], pa.binary()), pa.array([weighted.astype(np.float32).tobytes()], pa.binary())], _BLOCK)
 
-    parts = docs.select("text").mapInArrow(run, "t int, b int, rows binary, n binary, w binary")
-    merged = parts.repartition("t", "b").sortWithinPartitions("t", "b").mapInArrow(_merger(p), "t int, b int, rows binary, n binary, w binary")
+    parts = map_batches(docs.select("text"), run, "t int, b int, rows binary, n binary, w binary")
+    merged = map_batches(parts.repartition("t", "b").sortWithinPartitions("t", "b"), _merger(p), "t int, b int, rows binary, n binary, w binary")
     out = Weights(start.outer.copy(), start.inner.copy(), start.class_bias, start.member_bias)
     for r in merged.toLocalIterator():
         rows, n = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["n"], np.float64)
@@ -346,7 +347,7 @@ def _partial_scores(docs: DataFrame, v: Vocabulary, w: Weights, p: LmParams) ->
                 at += n
                 row += n
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _SCORED)
+    return map_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, _SCORED)
 
 
 def score_documents(docs: DataFrame, params: LmParams | None = None) -> DataFrame:

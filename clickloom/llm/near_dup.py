@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import stored
+from .arrow import map_batches
 from .skew import join_groups, salts
 from .wordhash import mix, overlap, shingle_sets
 
 #: Ids (8 bytes each) that are broadcast to pick texts; more of them are shuffled.
 BROADCAST_IDS = 1_000_000
 #: Members of a hub, or of one side of a bucket, that one task compares.
-HUB_ROWS, BLOCK_ROWS = 250, 1024
+HUB_ROWS, BLOCK_ROWS = 250, 512
 
 
 @dataclass(frozen=True)
@@ -82,8 +83,8 @@ def document_sets(docs: DataFrame, p: NearDupParams) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
                 sets = shingle_sets(_lowered(part.column(1)), p.words)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 digests: list = [None] * len(sets)
@@ -94,7 +95,7 @@ def document_sets(docs: DataFrame, p: NearDupParams) -> DataFrame:
                         digests[i] = np.array([mix(sets[i] ^ np.uint64(len(sets[i]))).sum(), mix(sets[i] + np.uint64(0x1234567)).sum()], np.uint64).tobytes()
                 yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _SETS)
+    return map_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, _SETS)
 
 
 def _survives(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
@@ -118,7 +119,7 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
             alive = pa.array(_survives(a, b, steps))
             yield pa.RecordBatch.from_arrays([batch.column(c).take(alive) for c in (0, 1)], ["hub", "id"])
 
-    return both.mapInArrow(run, "hub long, id long")
+    return map_batches(both, run, "hub long, id long")
 
 
 def _node_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -149,8 +150,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub_set = np.zeros(0, np.uint64)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                rows = batch.slice(lo, 512)
+            for lo in range(0, batch.num_rows, 256):
+                rows = batch.slice(lo, 256)
                 sets = shingle_sets(_lowered(rows.column(4)), p.words)
                 out: list[tuple[int, int]] = []
                 for hub, kind, i, own in zip(rows.column(0).to_pylist(), rows.column(2).to_pylist(), rows.column(3).to_pylist(), sets, strict=True):
@@ -160,7 +161,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
                         out.append((hub, i))
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["hub", "id"])
 
-    return stream.mapInArrow(run, "hub long, id long")
+    return map_batches(stream, run, "hub long, id long")
 
 
 def components(edges: DataFrame, name: str) -> DataFrame:
@@ -214,10 +215,10 @@ def _crossing(bands: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataF
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["hub", "id"])
 
     # First the members with a partner that isn't pruned, by signatures alone; only their texts are then dealt.
-    near = stored(_by_cell(cells.join(nodes.select("id", "sig"), "id"), "sig").mapInArrow(paired, schema), "open-members")
+    near = stored(map_batches(_by_cell(cells.join(nodes.select("id", "sig"), "id"), "sig"), paired, schema), "open-members")
     ids = stored(near.select("id").distinct(), "open-ids")
     texts = _node_texts(docs, ids).join(nodes.select("id", "sig"), "id")
-    return _by_cell(near.join(texts, "id"), "sig", "text").mapInArrow(linked, "hub long, id long")
+    return map_batches(_by_cell(near.join(texts, "id"), "sig", "text"), linked, "hub long, id long")
 
 
 def _by_cell(df: DataFrame, *more: str) -> DataFrame:

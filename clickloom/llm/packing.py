@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import stored
+from .arrow import map_batches
 
 #: Texts of at most so many characters are encoded from ranks, if there are any.
 RANKS_CHARS = 200_000
@@ -172,7 +173,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int, end
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], [x.split()[0] for x in _PIECES.split(", ")])
 
-    pieces = docs.select("doc_id", "text").mapInArrow(run, _PIECES)
+    pieces = map_batches(docs.select("doc_id", "text"), run, _PIECES)
     return pieces if keep_ids else pieces.drop("ids")
 
 
@@ -208,5 +209,5 @@ def pack_documents(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 2048
             yield from placed.to_batches()
 
     kinds = {f.name: f.dataType.simpleString() for f in numbered.schema}
-    packed = numbered.mapInArrow(place, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "sequence_id bigint", "offset bigint"]))
+    packed = map_batches(numbered, place, ", ".join([*(f"`{c}` {kinds[c]}" for c in names), "sequence_id bigint", "offset bigint"]))
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", *(["ids"] if keep_ids else []))

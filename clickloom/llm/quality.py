@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .arrow import map_batches
 from .wordhash import chunks, mix, word_hashes, words
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -38,7 +39,7 @@ def features(texts: list[bytes], p: QualityParams) -> Iterator[tuple[int, np.nda
     """(number of the first text, buckets, texts' offsets) for ranges of texts: n-grams, words, and pairs of neighbouring words
     that are equal, all hashed; an empty text has none."""
     mask = np.uint64(p.buckets - 1)
-    for a, b in chunks(texts, 1_000_000):
+    for a, b in chunks(texts, 250_000):
         buf, starts, ends, first = words(texts[a:b])
         h = word_hashes(buf, starts, ends)
         lens = np.fromiter((len(t) + 1 for t in texts[a:b]), np.int64, b - a)
@@ -150,7 +151,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, params: QualityParams | No
             scores = _score_batches(weights, bias, p, [t.as_py() for t in batch.column(1).cast(pa.binary())])
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(scores)], ["doc_id", "score"])
 
-    scored = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(run, _SCHEMA)
+    scored = map_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, _SCHEMA)
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= p.threshold).cast("int").alias("predicted"))
 
 
@@ -166,4 +167,4 @@ def accepted(docs: DataFrame, labels: DataFrame, params: QualityParams | None =
             scores = _score_batches(weights, bias, p, [t.as_py() or b"" for t in batch.column(at).cast(pa.binary())])
             yield batch.filter(pa.array(scores >= p.threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)

@@ -11,6 +11,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from .arrow import map_batches
+
 #: Fixed values of the base kinds, in the order in which they are listed: kind, pattern, group, least length.
 BASE_KINDS = (
     ("assign", r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 2, 12),
@@ -138,4 +140,4 @@ def scan_secrets(docs: DataFrame, params: SecretParams | None = None) -> DataFra
             arrays = [pa.array(c, t) for c, t in zip(cols, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *arrays], [x.split()[0] for x in _SCHEMA.split(", ")])
 
-    return docs.select("doc_id", "text").mapInArrow(run, _SCHEMA)
+    return map_batches(docs.select("doc_id", "text"), run, _SCHEMA)

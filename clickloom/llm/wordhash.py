@@ -29,7 +29,7 @@ def _position_keys(n: int) -> np.ndarray:
     return _POSITION
 
 
-def chunks(texts: list[bytes], limit: int = 2_000_000) -> Iterator[tuple[int, int]]:
+def chunks(texts: list[bytes], limit: int = 250_000) -> Iterator[tuple[int, int]]:
     """Ranges of texts of about limit bytes, so that temporary arrays stay small; a longer text is a range of its own."""
     at, held = 0, 0
     for i, t in enumerate(texts):
