@@ -185,20 +185,21 @@ def components(edges: DataFrame, name: str) -> DataFrame:
 def _crossing(bands: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame | None:
     """Links within buckets whose members aren't in one component yet: all pairs across components that share a band are compared there.
 
-    A bucket is dealt in blocks of BLOCK_ROWS, each pair of blocks to one task; a pair is compared in the first band that it shares, pruned
-    by signatures, and verified exactly unless its ends have been linked in the task before. What is stored of a bucket is
-    its members, never its pairs.
+    The largest component of a bucket is dealt in blocks of BLOCK_ROWS, and so are the other members; each block of the others meets
+    every block of both, one task a pair of blocks, so that the largest component's members are copied only once for each block
+    of the others. A pair is compared in the first band that it shares, pruned by signatures, and verified exactly unless its ends
+    have been linked in the task before. What is stored of a bucket is its members, never its pairs.
     """
     labelled = bands.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    open_ = labelled.groupBy("band").agg(F.count("*").alias("n"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band", "n")
+    open_ = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
     open_ = stored(open_, "open-buckets")
     if open_.isEmpty():
         return None
     rows = stored(labelled.join(open_, "band"), "open-rows")
-    parts = salts(F.col("n"), BLOCK_ROWS)
-    block = F.pmod(F.xxhash64("id"), parts).cast("int")
-    cells = rows.withColumn("parts", parts).withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cells.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label")
+    sizes = rows.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("main"))
+    main_parts, other_parts = salts(F.col("main.m"), BLOCK_ROWS), salts(F.col("n") - F.col("main.m"), BLOCK_ROWS)
+    sizes = stored(sizes.select("band", "n", F.col("main.label").alias("main"), main_parts.alias("main_parts"), other_parts.alias("other_parts")), "open-sizes")
+    cells = _block_pairs(join_groups(rows, sizes, "band", "n", rows.count()))
     steps, names, schema = least_matches(p), cells.columns, cells.schema
 
     def paired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,6 +222,18 @@ def _crossing(bands: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataF
     return map_batches(_by_cell(near.join(texts, "id"), "sig", "text"), linked, "hub long, id long")
 
 
+def _block_pairs(rows: DataFrame) -> DataFrame:
+    """(band, low, high, block, id, label): each row once for each pair of blocks that it takes part in.
+
+    Blocks of a bucket's largest component are numbered -1, -2 ..., those of its other members 0, 1 ...; the former meet the latter only.
+    """
+    is_main = F.col("label") == F.col("main")
+    block = F.when(is_main, -1 - F.pmod(F.xxhash64("id"), F.col("main_parts"))).otherwise(F.pmod(F.xxhash64("id"), F.col("other_parts"))).cast("int")
+    others = F.sequence(F.when(is_main, F.lit(0)).otherwise(-F.col("main_parts")), F.col("other_parts") - 1)
+    met = rows.select("band", "id", "label", block.alias("block"), F.explode(others).alias("other"))
+    return met.select("band", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "id", "label")
+
+
 def _by_cell(df: DataFrame, *more: str) -> DataFrame:
     cell = ["band", "low", "high"]
     return df.select(*cell, "block", "id", "label", *more).repartition(*cell).sortWithinPartitions(*cell, "id")

@@ -67,6 +67,19 @@ def test_chains_whose_ends_differ_and_small_blocks(spark, monkeypatch):
     assert len({c for _, c in got.values()}) == 1
 
 
+def test_a_bucket_compares_its_largest_component_with_the_others_only(spark, monkeypatch):
+    monkeypatch.setattr(near_dup, "BLOCK_ROWS", 4)
+    sizes = [(7, i, 100, "main") for i in range(21)] + [(7, 100 + i, 200 + i, "other") for i in range(6)]
+    rows = spark.createDataFrame([(b, i, label, 100, 6, 2) for b, i, label, _ in sizes], "band long, id long, label long, main long, main_parts int, other_parts int")
+    cells = near_dup._block_pairs(rows).collect()
+    met = {}
+    for r in cells:
+        met.setdefault((r["low"], r["high"]), []).append((r["block"], r["id"], r["label"]))
+    pairs = {tuple(sorted((a[1], b[1]))) for (low, high), own in met.items() for a in own for b in own if a[1] < b[1] and a[2] != b[2] and (low == high or a[0] != b[0])}
+    assert pairs == {tuple(sorted((a[1], b[1]))) for a in sizes for b in sizes if a[1] < b[1] and a[2] != b[2]}
+    assert len(cells) == 21 * 2 + 6 * 8
+
+
 def test_nulls_repeated_ids_ties_and_empty_tables(spark):
     text = " ".join(f"w{i}" for i in range(50))
     rows = [(1, text), (2, text.upper()), (3, None), (4, ""), (5, " \t\n"), (6, "one"), (7, "ONE"), (None, text), (8, "b c"), (8, "b c d"), (8, "b c")]
