@@ -512,7 +512,7 @@ def incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("session_runs", with_tables("clicks", "p AS (SELECT *, row_number() OVER (ORDER BY Time, SessionId, pos) AS place FROM clicks WHERE SessionId < 2000), g AS (SELECT *, place - row_number() OVER (PARTITION BY SessionId ORDER BY place) AS grp FROM p) SELECT SessionId, min(place)::INT AS run, string_agg(ItemId::VARCHAR, ',' ORDER BY place) AS items FROM g GROUP BY SessionId, grp"))
 def session_runs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = tables.clicks(spark, sf).filter("SessionId < 2000").withColumn("key", F.struct("Time", "SessionId", "pos"))
+    rows = tables.clicks(spark, sf).withColumn("key", F.struct("Time", "SessionId", "pos"))
     return readers.runs_of_sessions(rows, "key").select("SessionId", "run", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 

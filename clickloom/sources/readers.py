@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators.clean import days_before
+from ..session import stored
 
 CLICK_SCHEMA = "SessionId long, ItemId long, Time double"
 
@@ -60,15 +61,27 @@ def synthetic_scores(predictions: DataFrame) -> DataFrame:
 
 
 def runs_of_sessions(clicks: DataFrame, order: str) -> DataFrame:
-    """One row for each run of rows of one session that follow each other in `order`: (SessionId, run, items).
+    """One row for each run of rows of one session that follow each other in `order`: (SessionId, run, items); run is the place of its first row.
 
-    The place in the file and the place among the session's rows grow together within a run; the file is the replay's one sequence.
+    Rows are numbered by blocks of a range sort, without one task that sorts all. Each block gets two values from the blocks before it:
+    how many rows they hold, and where the run starts that its first row continues.
     """
-    place = F.row_number().over(Window.orderBy(order))
-    own = F.row_number().over(Window.partitionBy("SessionId").orderBy(order))
-    rows = clicks.withColumn("__place", place).withColumn("__group", F.col("__place") - own)
-    runs = rows.groupBy("SessionId", "__group").agg(F.min("__place").alias("run"), F.transform(F.array_sort(F.collect_list(F.struct("__place", "ItemId"))), lambda x: x["ItemId"]).alias("items"))
-    return runs.drop("__group")
+    rows = stored(clicks.repartitionByRange(order).withColumn("__block", F.spark_partition_id()), "session-runs")
+    own = Window.partitionBy("__block").orderBy(order, "SessionId", "ItemId")
+    rows = rows.withColumn("__place", F.row_number().over(own).cast("long"))
+    rows = rows.withColumn("__start", F.when((F.col("__place") > 1) & ~F.lag("SessionId").over(own).eqNullSafe(F.col("SessionId")), F.col("__place")))
+    blocks = rows.groupBy("__block").agg(F.count("*").alias("n"), F.min_by("SessionId", "__place").alias("first"), F.max_by("SessionId", "__place").alias("last"), F.max("__start").alias("start"))
+    by_block = Window.orderBy("__block")
+    earlier = by_block.rowsBetween(Window.unboundedPreceding, -1)
+    opens = F.lag("n").over(by_block).isNull() | ~F.lag("last").over(by_block).eqNullSafe(F.col("first"))
+    blocks = blocks.withColumn("__before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("opens", opens)
+    blocks = blocks.withColumn("start", F.col("__before") + F.coalesce("start", F.when(F.col("opens"), 1)))
+    carried = F.when(F.col("opens"), F.col("__before") + 1).otherwise(F.last("start", ignorenulls=True).over(earlier))
+    rows = rows.withColumn("__start", F.last("__start", ignorenulls=True).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.join(F.broadcast(blocks.select("__block", "__before", carried.alias("__carried"))), "__block")
+    run = F.coalesce(F.col("__before") + F.col("__start"), F.col("__carried"))
+    items = F.transform(F.array_sort(F.collect_list(F.struct(F.col("__before") + F.col("__place"), "ItemId"))), lambda x: x["ItemId"])
+    return rows.groupBy("SessionId", run.alias("run")).agg(items.alias("items"))
 
 
 @dataclass(frozen=True)
