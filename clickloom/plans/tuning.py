@@ -5,10 +5,13 @@ from __future__ import annotations
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import metrics
+from ..functions.weights import DECAYS
+from ..operators import index, knn
 from ..operators.knn import KnnParams
 from . import replay
 
@@ -33,15 +36,52 @@ def random_combinations(spark: SparkSession, values: dict[str, list[int]], n: in
     return grid(spark, values).orderBy(F.xxhash64(F.lit(seed), *values)).limit(n)
 
 
+def _least_over(values: list[int], n: Column) -> Column:
+    """The least of the values that is n or more, else the largest: larger ones choose the same of n rows."""
+    return F.coalesce(F.get(F.filter(_longs(values), lambda v: v >= n), F.lit(0)), F.lit(values[-1]).cast("long"))
+
+
+def _longs(values: list[int]) -> Column:
+    return F.array(*[F.lit(v).cast("long") for v in values])
+
+
 def search(evolving: DataFrame, history: DataFrame, combos: DataFrame, length: int = 20) -> DataFrame:
-    """(m, k, max_items, mrr) of every combination with k <= m."""
-    spark = evolving.sparkSession
-    out = []
-    for row in combos.filter("k <= m").orderBy(*combos.columns).collect():
-        p = replace(KnnParams(), m=row["m"], k=row["k"], n=length)
-        score = metrics.means(replay.predictions(evolving, history, p, row["max_items"]), length)
-        out.append(score.select(*[F.lit(row[c]).cast("long").alias(c) for c in ("m", "k", "max_items")], "mrr"))
-    return reduce(DataFrame.unionByName, out) if out else spark.createDataFrame([], "m long, k long, max_items long, mrr double")
+    """(m, k, max_items, mrr) of every combination with k <= m; max_items counts from 1.
+
+    One plan, whose rows carry their m, k and max_items (x): candidates are looked up once, for the largest m. Parameters that can't
+    differ for a prefix (no more clicks than x, candidates than m, neighbours than k) are worked out once and stand for each other.
+    """
+    names, spark = ["m", "k", "max_items"], evolving.sparkSession
+    tried = combos.filter("k <= m").select(*[F.col(c).cast("long").alias(c) for c in names]).distinct()
+    ms, ks, xs = tried.agg(*[F.sort_array(F.collect_set(c)) for c in names]).first()
+    if not ms:
+        return spark.createDataFrame([], "m long, k long, max_items long, mrr double")
+    p = replace(KnnParams(), m=ms[-1], n=length)
+    prefixes = replay.prefixes(evolving)
+    rows = prefixes.withColumn("x", F.explode(F.array_distinct(F.transform(_longs(xs), lambda x: F.least(x.cast("int"), F.col("position"))))))
+    rows = rows.withColumn("history", F.slice("history", F.col("position") - F.col("x") + 1, F.col("x"))).withColumn("eid", F.concat_ws(":", "SessionId", "position", "x"))
+    clicks = rows.select("eid", F.posexplode("history").alias("at", "item")).select("eid", "item", (F.col("at") + 1).cast("long").alias("pos"))
+    own, of_m = Window.partitionBy("eid"), Window.partitionBy("eid", "m")
+    near = knn.candidates(clicks, history, p).withColumn("r", F.row_number().over(own.orderBy(F.desc("time"), F.desc("sid"))))
+    near = near.withColumn("m_top", _least_over(ms, F.count("*").over(own)))
+    near = near.withColumn("m", F.explode(F.filter(_longs(ms), lambda m: (m >= F.col("r")) & (m <= F.col("m_top"))))).filter("sim > 0")
+    near = near.withColumn("j", F.row_number().over(of_m.orderBy(F.round("sim", 9).desc(), F.desc("time"), F.desc("sid"))))
+    near = near.withColumn("k_top", _least_over(ks, F.count("*").over(of_m))).filter("j <= k_top")
+    items = history.select(F.col("SessionId").alias("sid"), F.col("ItemId").alias("item")).distinct()
+    idf = index.item_idf(history, p.idf).select(F.col("ItemId").alias("item"), "idf")
+    part = DECAYS[p.decay](F.col("step")) * F.col("sim")
+    sums = near.join(items.join(idf, "item"), "sid").repartition("eid").groupBy("eid", "m", "m_top", "k_top", "item")
+    sums = sums.agg(F.max("idf").alias("idf"), F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.sum(F.when(F.col("j") <= k, part)).alias("s")) for k in ks]).alias("by_k"))
+    scores = sums.select("eid", "m", "m_top", "k_top", "item", "idf", F.inline("by_k")).filter("k <= k_top AND s IS NOT NULL").withColumn("score", F.col("s") * F.col("idf"))
+    scores = scores.join(rows.select("eid", F.element_at("history", -1).alias("last")), "eid").filter("item != last")
+    case = ["eid", "m", "m_top", "k", "k_top"]
+    rank = F.row_number().over(Window.partitionBy(*case).orderBy(F.round("score", 9).desc(), F.asc("item")))
+    top = scores.withColumn("rank", rank).filter(F.col("rank") <= length).groupBy(*case).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("recs"))
+    found = top.join(rows.select("eid", "position", "x", "next_items"), "eid").select(*[F.col(c).alias(f"_{c}") for c in ("m", "m_top", "k", "k_top", "position", "x")], metrics.mrr(F.col("recs"), F.col("next_items"), length).alias("own"))
+    same = (F.least("m", "_m_top") == F.col("_m")) & (F.least("k", "_k_top") == F.col("_k")) & (F.least("max_items", "_position") == F.col("_x"))
+    total = found.join(F.broadcast(tried), same).groupBy(*names).agg(F.sum("own").alias("own"))
+    mrr = F.coalesce("own", F.lit(0.0)) / F.nullif(F.col("n"), F.lit(0))
+    return tried.join(F.broadcast(total), names, "left").crossJoin(prefixes.agg(F.count("*").alias("n"))).select(*names, mrr.alias("mrr"))
 
 
 def best(results: DataFrame) -> DataFrame:
