@@ -1,4 +1,4 @@
-"""Maximum inner product search: score-aware (anisotropic) product codes of four bits, table scans, exact reranking."""
+"""Maximum inner product search: score-aware (anisotropic) product codes of four bits, table scans, reranking by exact products within a residual bound."""
 
 from __future__ import annotations
 
@@ -18,7 +18,7 @@ from .arrow import map_batches
 class AnnParams:
     """neighbours: of a query. width: dimensions of a subspace. eta: weight of the residual's part parallel to the vector against the part
     across it. sample: vectors that the codebooks are fitted on, the first by a hash of their id; all rows are coded. rerank: of each query and
-    block, the vectors whose exact products are computed. block: rows of a table scan. queries: at a time."""
+    block, the vectors whose exact products are computed first; they bound which others have to be. block: rows of a table scan. queries: at a time."""
 
     neighbours: int = 20
     width: int = 2
@@ -113,13 +113,40 @@ def _usable(v: Column) -> Column:
 
 
 def _search_block(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, codes: np.ndarray, books: np.ndarray, p: AnnParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query_id, vec_id, score) of the best rows of a block, reranked by exact products; rows are sorted by id."""
+    """(query_id, vec_id, score) of the best rows of a block by exact products; rows are sorted by id, codes are one a subspace.
+
+    A product differs from its code score by |q| times the row's residual norm at most. So the rows of best code scores give a product
+    that the last neighbour has at least, and all rows that may reach it are read, by one matrix product where they are many.
+    """
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    centres = books[np.arange(len(books)), codes].reshape(x.shape)
+    off, lengths, columns = np.linalg.norm(x - centres, axis=1), np.linalg.norm(q, axis=1), packed(codes)
+    # What sums of single and double precision may be off by, for a query of length one.
+    single = 1.2e-7 * (columns.shape[1] + 4) * np.linalg.norm(centres, axis=1).max()
+    double = 4 * 2.3e-16 * x.shape[1] * np.linalg.norm(x, axis=1).max()
     for lo in range(0, len(q), p.at_once):
-        near = scan(q[lo : lo + p.at_once], codes, books)
+        asked = q[lo : lo + p.at_once]
+        near, places, many = scan(asked, columns, books), [], []
         for i, row in enumerate(near):
-            own = q_ids[lo + i]
             at = best_places(row, p.rerank)
+            if len(at) < len(ids):
+                exact = (x[at] * asked[i]).sum(1)[ids[at] != q_ids[lo + i]]
+                if len(exact) >= p.neighbours:
+                    least = np.partition(exact, len(exact) - p.neighbours)[len(exact) - p.neighbours]
+                    at = np.flatnonzero(~(row + lengths[lo + i] * (off + single + double) < least))
+                else:
+                    at = np.arange(len(ids))
+            if len(at) > p.rerank:
+                many.append(i)
+            places.append(at)
+        whole = asked[many] @ x.T
+        for i, products in zip(many, whole, strict=True):
+            products[ids == q_ids[lo + i]] = -np.inf
+            n = min(p.neighbours, len(products))
+            least = np.partition(products, len(products) - n)[len(products) - n]
+            places[i] = np.flatnonzero(products >= least - 2 * double * lengths[lo + i])
+        for i, at in enumerate(places):
+            own = q_ids[lo + i]
             at = at[ids[at] != own]
             exact = (x[at] * q[lo + i]).sum(1)  # row by row, so that equal vectors tie
             order = np.lexsort((ids[at], -exact))[: p.neighbours]
@@ -173,7 +200,7 @@ def nearest(embeddings: DataFrame, params: AnnParams | None = None) -> DataFrame
             asks, own = kind == 0, kind == 1
             if not asks.any() or not own.any():
                 continue
-            codes = packed(encode(x[own], centres, p))
+            codes = encode(x[own], centres, p)
             q, i, score = _search_block(ids[asks], x[asks], ids[own], x[own], codes, centres, p)
             yield pa.RecordBatch.from_arrays([pa.array(q), pa.array(i), pa.array(score)], ["query_id", "vec_id", "score"])
 
