@@ -83,6 +83,13 @@ class Novelty:
         return (len(squeeze(candidate.encode("utf-8", "replace"))) - len(squeeze(b""))) / max(1, len(candidate))
 
 
+def _without_copies(s: str, text: str, start: int, end: int, surround: int) -> tuple[str, str]:
+    """The surround on each side without other copies of s, those at its edges too: a repeated secret is no help to itself."""
+    before = text[max(0, start - surround - len(s)) : start].replace(s, " ")
+    after = text[end : end + surround + len(s)].replace(s, " ")
+    return before[max(0, len(before) - surround) :], after[:surround]
+
+
 def novel_spans(text: str, narrow: bytes, taken: list[tuple[int, int, int]], p: SecretParams, novelty: Novelty) -> list[tuple[int, int]]:
     """Spans near a sensitive word that mix letters with digits, overlap no base span and don't compress."""
     low, out, seen = narrow.lower(), [], -1
@@ -97,7 +104,8 @@ def novel_spans(text: str, narrow: bytes, taken: list[tuple[int, int, int]], p:
                 continue
             if any(a < m.end() and m.start() < e for a, _, e in taken):
                 continue
-            if novelty.per_character(s, text[max(0, m.start() - p.surround) : m.start()], text[m.end() : m.end() + p.surround]) >= p.novelty:
+            before, after = _without_copies(s, text, m.start(), m.end(), p.surround)
+            if novelty.per_character(s, before, after) >= p.novelty:
                 out.append((m.start(), m.end()))
     return out
 
