@@ -21,7 +21,7 @@ class DigestIndex:
 
     flush() turns a batch of documents into a run: each task's hash table of partial aggregates is the memtable, and the
     run is sorted by digest within its files. compact() merges all runs into one, keeping each digest's smallest identifier
-    (or largest) and its number of rows. lookup() finds a batch's digests in the compacted run.
+    (or largest) and its number of rows. Nothing here reads the Bloom filters; they serve later point lookups by digest.
     """
 
     def __init__(self, spark: SparkSession, keep: str = "smallest") -> None:
