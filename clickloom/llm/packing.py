@@ -7,11 +7,11 @@ run of equal pieces is placed at once. The runs say which piece of a length, by
 
 from __future__ import annotations
 
-import base64
 import os
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,9 @@ from pyspark.sql.window import Window
 from ..session import stored
 from .arrow import map_batches
 
-#: Texts of at most so many characters are encoded from ranks, if there are any.
-RANKS_CHARS = 200_000
-#: A fixed value: the special token's string.
-SPECIAL = "<|endoftext|>"
+#: Parts of texts whose ids an encoder holds: of how many characters, and how many at most.
+PART_CHARS, HELD_PARTS = 48, 500_000
+MARKS = ".,;:!?"
 
 
 class CapacityTree:
@@ -105,32 +104,86 @@ def best_fit_runs(histogram: dict[int, int], capacity: int) -> tuple[list[Run],
 
 
 class Encoder:
-    """Ids of a byte-level BPE as little-endian unsigned 32-bit integers, as the tokenizers library gives them.
+    """Ids of a byte-level BPE as little-endian unsigned 32-bit integers, all of them made by the tokenizers library.
 
-    With the same vocabulary as a file of ranks, texts of at most RANKS_CHARS characters are encoded from the ranks, which is
-    several times faster and gives the same ids; longer texts, whose runs of white space may exceed that library's stack, and
-    texts with the special token's string are encoded by the tokenizers library.
+    The byte-level splitting ends a word before every space that a character other than white space follows, whatever comes
+    before it, and words are encoded one by one. So texts are cut there, and the ids of a part of at most PART_CHARS characters
+    are held for its next occurrence; longer parts are encoded each time. The special token's string splits a text
+    before that, so a text that holds it is encoded in one piece.
     """
 
-    def __init__(self, path: str, ranks_path: str | None = None, pattern: str | None = None) -> None:
+    def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ranked = None
-        if ranks_path:
-            import tiktoken
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.marks = dict(zip(MARKS, self._encoded([*MARKS]), strict=True))
+        self.held: dict[str, bytes] = {}
 
-            with open(ranks_path, "rb") as f:
-                ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-            self.ranked = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def _encoded(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, text: str) -> bytes:
         if not text:
             return b""
-        if self.ranked and len(text) <= RANKS_CHARS and SPECIAL not in text:
-            return np.array(self.ranked.encode_ordinary(text), "<u4").tobytes()
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        if any(s in text for s in self.special):
+            return self._encoded([text])[0]
+        first, *rest = text.split(" ")
+        found = [*map(self.held.get, rest)]
+        if None in found:
+            new = {p for p, ids in zip(rest, found, strict=True) if ids is None}
+            if any(map(_keeps_on, new)):  # no part that keeps on is ever held
+                first, rest = _joined_parts(first, rest)
+                new = {p for p in rest if p not in self.held}
+            if len(self.held) + len(new) > HELD_PARTS:
+                self.held.clear()
+                new = set(rest)
+            self._hold(new)
+            found = [*map(self.held.get, rest)]
+            for p in new:
+                if len(p) > PART_CHARS:
+                    self.held.pop(p, None)
+                    self.held.pop(p[:-1], None)
+        return b"".join([*self._encoded([first][: len(first)]), *found])
+
+
+    def _hold(self, new: set[str]) -> None:
+        """Add the ids of new parts; a mark that ends a part after a letter is a word of its own there."""
+        stems = {p[:-1] if _ends_with_mark(p) else p for p in new}
+        stems = [p for p in stems if p not in self.held]
+        self.held.update(zip(stems, self._encoded([" " + p for p in stems]), strict=True))
+        for p in new:
+            if p not in self.held:
+                self.held[p] = self.held[p[:-1]] + self.marks[p[-1]]
+
+
+def _ends_with_mark(part: str) -> bool:
+    """Whether the part ends with a mark after a letter of the Latin blocks."""
+    return part[-1] in MARKS and part[-2:-1] < "\u0250" and part[-2:-1].isalpha()
+
+
+def _keeps_on(part: str) -> bool:
+    """Whether the space before this part may belong to a run of white space."""
+    return not part or part[0].isspace() or part[0] == "\u180e"
+
+
+def _joined_parts(first: str, rest: list[str]) -> tuple[str, list[str]]:
+    """The parts of a text after those that keep on have been put back to the part before them."""
+    parts = [[first]]
+    for part in rest:
+        if _keeps_on(part):
+            parts[-1] += [" ", part]
+        else:
+            parts.append([part])
+    whole = ["".join(p) for p in parts]
+    return whole[0], whole[1:]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    """One encoder a process, so that what it holds serves all its tasks."""
+    return Encoder(path)
 
 
 _PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, chunk long, place long"
@@ -146,11 +199,9 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """path: of a vocabulary file of the tokenizers library. ranks_path, pattern: the same vocabulary as ranks with its splitting pattern, if there is one."""
+    """path: of a vocabulary file of the tokenizers library, on every machine."""
 
     path: str
-    ranks_path: str | None = None
-    pattern: str | None = None
 
 
 def tokenised_pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
@@ -159,12 +210,12 @@ def tokenised_pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int, end
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, end, seen = Encoder(vocabulary.path, vocabulary.ranks_path, vocabulary.pattern), np.array([end_id], "<u4").tobytes(), [0] * (capacity + 1)
+        words, end, seen = encoder(vocabulary.path), np.array([end_id], "<u4").tobytes(), [0] * (capacity + 1)
         chunk = TaskContext.get().partitionId()
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.ids(text.as_py() or "") + end
+                ids = words.ids(text.as_py() or "") + end
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
                     for c, v in zip(out, (doc_id, piece, start, length, zlib.crc32(own), own if keep_ids else None, chunk, seen[length]), strict=True):
@@ -194,7 +245,8 @@ def pack_documents(docs: DataFrame, vocabulary: Vocabulary, capacity: int = 2048
     runs, _ = best_fit_runs(histogram, capacity)
     runs.sort(key=lambda r: (r.length, r.rank))
     table = spark.sparkContext.broadcast(np.array([(r.length, r.rank, r.bin, r.each, r.offset) for r in runs], np.int64).reshape(-1, 5))
-    numbered = pieces.join(ranked.drop("n"), ["length", "chunk"]).withColumn("rank", F.col("before") + F.col("place")).drop("before", "place", "chunk")
+    # The ranks grow with tasks times lengths, so they are never broadcast; a key holds what one task made of one length.
+    numbered = pieces.join(ranked.drop("n").hint("merge"), ["length", "chunk"]).withColumn("rank", F.col("before") + F.col("place")).drop("before", "place", "chunk")
     names = [c for c in numbered.columns if c not in ("rank",)]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -11,10 +11,10 @@ from . import ann_search, exact_dedup, line_dedup, maxent_lm, mixing, near_dup,
 
 
 def vocabulary() -> packing.Vocabulary:
-    """Where a public vocabulary and its ranks lie; they are read there and never copied."""
+    """Where a public vocabulary lies; it is read there and never copied."""
     import public_tokenizers
 
-    return packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
