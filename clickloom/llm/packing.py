@@ -15,6 +15,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -22,9 +23,13 @@ from pyspark.sql.window import Window
 from ..session import stored
 from .arrow import map_batches
 
-#: Parts of texts whose ids an encoder holds: of how many characters, and how many at most.
-PART_CHARS, HELD_PARTS = 48, 500_000
-MARKS = ".,;:!?"
+#: Words whose ids an encoder holds: of how many characters, and how many at most.
+WORD_CHARS, HELD_WORDS = 48, 1_000_000
+#: Marks in a copy of a text where it is cut.
+CUT = "\x00"
+_VISIBLE, _LETTER = r"[!-~\x{C0}-\x{24F}]", r"[A-Za-z\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{24F}]"
+#: Cuts beside a line end between visible characters, and before a mark after a letter that ends a word.
+_CUTS = ((rf"({_VISIBLE})\n({_VISIBLE})", "\\1\x00\n\x00\\2"), (rf"({_LETTER})([.,;:!?])(\x00|$)", "\\1\x00\\2\\3"))
 
 
 class CapacityTree:
@@ -107,9 +112,9 @@ class Encoder:
     """Ids of a byte-level BPE as little-endian unsigned 32-bit integers, all of them made by the tokenizers library.
 
     The byte-level splitting ends a word before every space that a character other than white space follows, whatever comes
-    before it, and words are encoded one by one. So texts are cut there, and the ids of a part of at most PART_CHARS characters
-    are held for its next occurrence; longer parts are encoded each time. The special token's string splits a text
-    before that, so a text that holds it is encoded in one piece.
+    before it; a line end between visible characters, and a mark that ends a word after a Latin letter, are words of their own. Words are
+    encoded one by one. So texts are cut there, each distinct word of a batch is encoded once, and the ids of short ones are held
+    for the next batch. Texts that hold a special token's string, which splits them before that, or the cutting mark are encoded whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -117,67 +122,80 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.marks = dict(zip(MARKS, self._encoded([*MARKS]), strict=True))
+        self.apart = [CUT, *(t.content for t in self.tokenizer.get_added_tokens_decoder().values())]
         self.held: dict[str, bytes] = {}
 
     def _encoded(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def ids(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(s in text for s in self.special):
-            return self._encoded([text])[0]
-        first, *rest = text.split(" ")
-        found = [*map(self.held.get, rest)]
-        if None in found:
-            new = {p for p, ids in zip(rest, found, strict=True) if ids is None}
-            if any(map(_keeps_on, new)):  # no part that keeps on is ever held
-                first, rest = _joined_parts(first, rest)
-                new = {p for p in rest if p not in self.held}
-            if len(self.held) + len(new) > HELD_PARTS:
-                self.held.clear()
-                new = set(rest)
-            self._hold(new)
-            found = [*map(self.held.get, rest)]
-            for p in new:
-                if len(p) > PART_CHARS:
-                    self.held.pop(p, None)
-                    self.held.pop(p[:-1], None)
-        return b"".join([*self._encoded([first][: len(first)]), *found])
-
-
-    def _hold(self, new: set[str]) -> None:
-        """Add the ids of new parts; a mark that ends a part after a letter is a word of its own there."""
-        stems = {p[:-1] if _ends_with_mark(p) else p for p in new}
-        stems = [p for p in stems if p not in self.held]
-        self.held.update(zip(stems, self._encoded([" " + p for p in stems]), strict=True))
-        for p in new:
-            if p not in self.held:
-                self.held[p] = self.held[p[:-1]] + self.marks[p[-1]]
-
-
-def _ends_with_mark(part: str) -> bool:
-    """Whether the part ends with a mark after a letter of the Latin blocks."""
-    return part[-1] in MARKS and part[-2:-1] < "\u0250" and part[-2:-1].isalpha()
+        return self.batch(pa.array([text]))[0]
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text."""
+        whole = np.zeros(len(texts), bool)
+        for s in self.apart:
+            whole |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        marked = pc.replace_substring(texts.filter(pa.array(~whole)), " ", CUT + " ")
+        for pattern, by in _CUTS:
+            marked = pc.replace_substring_regex(marked, pattern, by)
+        split = pc.split_pattern(marked, CUT)
+        coded = split.flatten().dictionary_encode()
+        at, parts = coded.indices.to_numpy(), coded.dictionary
+        edge = split.offsets.to_numpy() - split.offsets[0].as_py()
+        out = _gathered(self._looked_up(parts.to_pylist()), at, edge)
+        keeps = np.concatenate([[0], np.cumsum(_keep_on(parts)[at])])
+        for r in np.flatnonzero(keeps[edge[1:]] > keeps[edge[:-1]]).tolist():
+            out[r] = b"".join(self._looked_up(_joined_parts(parts.take(pa.array(at[edge[r] : edge[r + 1]])).to_pylist())))
+        plain, single = iter(out), iter(self._encoded([t.as_py() for t in texts.filter(pa.array(whole))]))
+        return [next(single if w else plain) for w in whole]
+
+    def _looked_up(self, words: list[str]) -> list[bytes]:
+        """The ids of words, each by itself."""
+        out = [*map(self.held.get, words)]
+        missing = [w for w, b in zip(words, out, strict=True) if b is None]
+        made = dict(zip(missing, self._encoded(missing), strict=True))
+        if made:
+            out = [made[w] if b is None else b for w, b in zip(words, out, strict=True)]
+        if len(self.held) + len(made) > HELD_WORDS:
+            self.held.clear()
+        self.held.update((w, b) for w, b in made.items() if len(w) <= WORD_CHARS)
+        return out
 
 
 def _keeps_on(part: str) -> bool:
-    """Whether the space before this part may belong to a run of white space."""
-    return not part or part[0].isspace() or part[0] == "\u180e"
+    """Whether this part's space may belong to a run of white space."""
+    return part[:1] == " " and (len(part) == 1 or part[1].isspace() or part[1] == "\u180e")
 
 
-def _joined_parts(first: str, rest: list[str]) -> tuple[str, list[str]]:
-    """The parts of a text after those that keep on have been put back to the part before them."""
-    parts = [[first]]
-    for part in rest:
-        if _keeps_on(part):
-            parts[-1] += [" ", part]
+def _keep_on(parts: pa.StringArray) -> np.ndarray:
+    """_keeps_on of each part; one with a visible ASCII character after the space doesn't."""
+    unsure = pc.match_substring_regex(parts, r"^ ([^!-~]|$)").to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(unsure)
+    unsure[at] = [_keeps_on(p) for p in parts.take(pa.array(at)).to_pylist()]
+    return unsure
+
+
+def _joined_parts(parts: list[str]) -> list[str]:
+    """A text's parts after those that keep on have been put back to the part before them."""
+    out: list[list[str]] = []
+    for part in parts:
+        if out and _keeps_on(part):
+            out[-1].append(part)
         else:
-            parts.append([part])
-    whole = ["".join(p) for p in parts]
-    return whole[0], whole[1:]
+            out.append([part])
+    return ["".join(p) for p in out]
+
+
+def _gathered(ids: list[bytes], code: np.ndarray, edge: np.ndarray) -> list[bytes]:
+    """For each text, the ids of its strings (numbers in code between its edges), joined."""
+    size = np.fromiter((len(b) // 4 for b in ids), np.int64, len(ids))
+    start = np.cumsum(size) - size
+    n = size[code]
+    end = np.cumsum(n)
+    flat = np.frombuffer(b"".join(ids), "<u4")[np.arange(end[-1] if len(end) else 0) + np.repeat(start[code] - (end - n), n)]
+    cut = np.concatenate([[0], end])[edge]
+    return [flat[lo:hi].tobytes() for lo, hi in zip(cut[:-1], cut[1:], strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -214,8 +232,8 @@ def tokenised_pieces(docs: DataFrame, vocabulary: Vocabulary, capacity: int, end
         chunk = TaskContext.get().partitionId()
         for batch in batches:
             out: list[list] = [[] for _ in range(8)]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = words.ids(text.as_py() or "") + end
+            for doc_id, text in zip(batch.column(0).to_pylist(), words.batch(pc.fill_null(batch.column(1), "")), strict=True):
+                ids = text + end
                 for piece, (start, length) in enumerate(cut(len(ids) // 4, capacity)):
                     own = ids[4 * start : 4 * (start + length)]
                     for c, v in zip(out, (doc_id, piece, start, length, zlib.crc32(own), own if keep_ids else None, chunk, seen[length]), strict=True):

@@ -4,6 +4,7 @@ from collections import Counter
 from dataclasses import astuple
 
 import numpy as np
+import pyarrow as pa
 
 from clickloom.llm.packing import CapacityTree, Encoder, best_fit_runs, cut, pack_documents
 from clickloom.llm.queries import vocabulary
@@ -56,11 +57,13 @@ def test_tree_finds_the_tightest_room():
 def test_encoder_equals_the_library(spark):
     encoder = Encoder(*astuple(vocabulary()))
     texts = [r["text"] for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
-    texts += ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "don't we'll 've", "x\u00a0y\u2003z", "a\tb\r\nc", "é日本 語\u3000x", "1 2\n3", "<|endoftext|>", "a <|endoftext|> b", "\na", "a\n", "it's\n's 's", "a\x1cb c", "🙂 🙂\n🙂", "\u0085a b", " " * 150_000, "a" + " " * 199_990 + "b", "\n" * 200_000, "ab" * 100_000, " x" * 120_000, "a  b   c", " \n x  \n  y ", "\n  a", "x \u180eb \u180e", "\u3000 a \u3000", "a <|endoftext|>  b", "  <|endoftext|>", "a" * 300 + " b"]
+    texts += ["", " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "a \nb", "a\n b", "don't we'll 've", "x\u00a0y\u2003z", "a\tb\r\nc", "é日本 語\u3000x", "1 2\n3", "<|endoftext|>", "a <|endoftext|> b", "\na", "a\n", "it's\n's 's", "a\x1cb c", "🙂 🙂\n🙂", "\u0085a b", " " * 150_000, "a" + " " * 199_990 + "b", "\n" * 200_000, "ab" * 100_000, " x" * 120_000, "a  b   c", " \n x  \n  y ", "\n  a", "x \u180eb \u180e", "\u3000 a \u3000", "a <|endoftext|>  b", "  <|endoftext|>", "a" * 300 + " b", "ein.\nErt, x.\n y\n\nz w!\n", "\n", "a.", "é.\nß, ж.", "x.\u00a0\ny \u00a0\ny", "a\n\u180eb", "it's.\n's"]
     texts += ["".join(f"a{chr(c)}b {chr(c)} 1{chr(c)}" for c in range(lo, lo + 256) if not 0xD800 <= c < 0xE000) for lo in range(0, 0x30000, 256)]
     for text in texts + texts[:200]:  # once more from what is held
         want = encoder.tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(encoder.ids(text), "<u4").tolist() == want, text
+    for lo in range(0, len(texts), 100):
+        assert encoder.batch(pa.array(texts[lo : lo + 100])) == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts[lo : lo + 100]]
 
 
 def test_pieces_cover_documents_and_sequences_without_gaps(spark):
