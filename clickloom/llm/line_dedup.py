@@ -1,11 +1,15 @@
-"""Line dedup: repeated runs of lines, found in a suffix array over line ids by distributed prefix doubling.
-
-Lines are numbered by (doc_id, line), without blank ones. Only lines that occur twice can lie in a repeated run; their
-suffixes are ranked by first line, then by 2, 4, 8 ... lines, each round from the ranks of two halves. A run counts from
-`words` words on, so `words` lines at most decide, which bounds the rounds by log2(words) whatever the corpus. Suffixes
-that share a run of just enough lines are an interval of the suffix array with that longest common prefix; their
-smallest position is the first copy, and the run is deleted at the others. Runs are taken from every line forwards and backwards, which together
-cover every maximal repeated run.
+"""Line dedup: repeated runs of lines, found in the suffix order of line ids by distributed prefix doubling.
+
+Only lines that occur twice can lie in a repeated run. Their places get numbers in the order of the documents, and the
+suffixes that start there are ranked by their first line, then by 2, 4, 8 ... lines, each round from the ranks of two halves. Ranks
+follow the suffix order, so the suffixes of one rank are an interval of the suffix array with a longest common prefix of at
+least so many lines. Descending through the levels, each suffix's longest common prefix with any earlier place is found:
+the interval it shares with an earlier suffix is lengthened by half as many lines, a quarter, and so on. A place
+whose longest earlier prefix has at least `words` words starts a repeated run; the runs of neighbouring places overlap, and
+their union is all maximal repeated runs.
+
+2^k >= `words` lines have `words` words, since lines without words aren't counted. A longer common prefix is the union of those of
+so many lines that start in it, so prefixes are told apart up to that length only: log2(words) rounds up and down, whatever the corpus.
 """
 
 from __future__ import annotations
@@ -17,10 +21,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..session import stored
+from .rows import numbered
 from .skew import join_groups
 
 _TOKEN = r"[^\x20\x09-\x0D]+"
-#: Groups of doc_ids or lines that are broadcast; more of them are shuffled.
+#: Groups of rows, lines or digests that are broadcast; more of them are shuffled.
 BROADCAST_IDS = 1_000_000
 
 
@@ -30,99 +35,131 @@ class LineDedupParams:
 
     words: int = 50
 
+    @property
+    def levels(self) -> int:
+        """The last level: 2 to that power is `words` lines or more."""
+        return max(0, (self.words - 1).bit_length())
 
-def _ranks(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows with `rank`, the number of rows whose keys sort before: distinct keys are range-sorted and prefix-summed.
 
-    Equal keys are counted before the sort, so a common key is one row of it; sums pass between partitions as one row each.
-    """
-    total = rows.count()
-    counts = rows.groupBy(*keys).agg(F.count("*").alias("__n"))
-    ranged = stored(counts.repartitionByRange(*keys).withColumn("__block", F.spark_partition_id()), f"{name}-sorted")
-    blocks = ranged.groupBy("__block").agg(F.sum("__n").alias("__sum"))
-    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    own = Window.partitionBy("__block").orderBy(*keys).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranged.withColumn("__in", F.sum("__n").over(own) - F.col("__n")).join(F.broadcast(blocks.select("__block", before.alias("__before"))), "__block")
-    one = F.struct(*keys)
-    ranked = ranked.select(one.alias("__key"), "__n", (F.col("__before") + F.col("__in")).alias("rank"))
-    return join_groups(rows.withColumn("__key", one), ranked, "__key", "__n", total).drop("__key")
+def _split(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _positions(docs: DataFrame) -> DataFrame:
-    """(doc_id, line, words, id) of every line that isn't blank; id is 64 bits of the line's digest."""
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line", "own"))
-    n = F.regexp_count("own", F.lit(_TOKEN)).cast("int")
-    return lines.select("doc_id", F.col("line").cast("int").alias("line"), n.alias("words"), F.xxhash64(F.col("own"), F.length("own")).alias("id")).filter("words > 0")
+def _digest(line: Column) -> Column:
+    return F.unhex(F.md5(line.cast("binary")))
 
 
-def _runs(active: DataFrame, p: LineDedupParams) -> DataFrame:
-    """For each position the least run of at least `words` words that starts there, and the one that ends there: (doc_id, first, last).
+def _lines(rows: DataFrame) -> DataFrame:
+    """(row, at, line, words, id) of every line with words: at counts those only, line all; id is the line's 128-bit digest."""
+    own = F.transform(_split(F.col("text")), lambda x, i: F.struct(i.cast("int").alias("line"), x.alias("own"), F.regexp_count(x, F.lit(_TOKEN)).cast("int").alias("words")))
+    lines = rows.select("row", F.posexplode(F.filter(own, lambda x: x["words"] > 0)).alias("at", "x"))
+    return lines.select("row", "at", "x.line", "x.words", _digest(F.col("x.own")).alias("id"))
 
-    at counts a document's lines that aren't blank; done is the words before a line.
-    """
-    doc = Window.partitionBy("doc_id", "stretch").orderBy("at")
-    sums = active.withColumn("upto", F.sum("words").over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    sums = sums.withColumn("done", F.col("upto") - F.col("words"))
-    near_after = F.collect_list(F.struct("at", "upto")).over(doc.rowsBetween(0, p.words - 1))
-    near_before = F.collect_list(F.struct("at", "done")).over(doc.rowsBetween(-(p.words - 1), 0))
-    ahead = F.array_min(F.transform(F.filter(near_after, lambda x: x["upto"] - F.col("done") >= p.words), lambda x: x["at"]))
-    back = F.array_max(F.transform(F.filter(near_before, lambda x: F.col("upto") - x["done"] >= p.words), lambda x: x["at"]))
-    both = sums.select("doc_id", F.col("at").alias("here"), ahead.alias("ahead"), back.alias("back"))
-    forward = both.filter("ahead IS NOT NULL").select("doc_id", F.col("here").alias("first"), F.col("ahead").alias("last"))
-    backward = both.filter("back IS NOT NULL").select("doc_id", F.col("back").alias("first"), F.col("here").alias("last"))
-    return forward.union(backward).distinct()
-
-
-def repeated_lines(docs: DataFrame, params: LineDedupParams | None = None) -> DataFrame:
-    """(doc_id, line) of every line to delete: it lies in a run of at least `words` words that occurs before, too.
-
-    Positions are ordered by doc_id, then line, counted from 0 with blank lines. Doc_ids must not be null or repeated here.
+
+def _active(lines: DataFrame, p: LineDedupParams) -> DataFrame:
+    """(pos, left, row, line, words, upto, id) of the lines that occur twice, in stretches of at least `words` words.
+
+    pos numbers them by row and line, neighbours of a stretch by neighbouring numbers; left counts the stretch's lines from here on,
+    upto its words to the end of this line.
     """
-    p = params or LineDedupParams()
-    lines = stored(_positions(docs), "lines")
     total = lines.count()
-    twice = lines.groupBy("id").agg(F.count("*").alias("n"))
-    marked = join_groups(lines, twice, "id", "n", total)
-    doc = Window.partitionBy("doc_id").orderBy("line")
-    marked = marked.withColumn("at", F.row_number().over(doc)).withColumn("stretch", F.sum(F.when(F.col("n") == 1, 1).otherwise(0)).over(doc.rowsBetween(Window.unboundedPreceding, 0)))
-    whole = Window.partitionBy("doc_id", "stretch")
-    active = marked.filter("n > 1").withColumn("all", F.sum("words").over(whole)).filter(F.col("all") >= p.words)
-    active = stored(active.select("doc_id", "line", "at", "stretch", "words", "id"), "active")
-    runs = stored(_runs(active, p), "runs")
-    levels = _suffix_levels(active, runs, p)
-    return _later_copies(runs, levels, active)
-
-
-def _suffix_levels(active: DataFrame, runs: DataFrame, p: LineDedupParams) -> list[DataFrame]:
-    """Ranks of the active suffixes by their first 1, 2, 4 ... lines, as far as the longest run needs: (doc_id, at, rank) each."""
-    longest = runs.agg(F.max(F.col("last") - F.col("first") + 1)).first()[0] or 0
-    levels = [stored(_ranks(active.select("doc_id", "stretch", "at", "id"), ["id"], "rank-1").select("doc_id", "stretch", "at", "rank"), "rank-1")]
-    step = 1
-    while 2 * step <= longest:
-        doc = Window.partitionBy("doc_id", "stretch").orderBy("at")
-        pairs = levels[-1].withColumn("second", F.lead("rank", step).over(doc)).filter("second IS NOT NULL").withColumnRenamed("rank", "half")
-        levels.append(stored(_ranks(pairs, ["half", "second"], f"rank-{2 * step}").select("doc_id", "stretch", "at", "rank"), f"rank-{2 * step}"))
-        step *= 2
+    twice = lines.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1")
+    repeated = join_groups(lines, twice, "id", "n", total).drop("n")
+    row = Window.partitionBy("row").orderBy("at")
+    stretches = repeated.withColumn("stretch", F.col("at") - F.row_number().over(row))
+    own = Window.partitionBy("row", "stretch")
+    upto = F.sum("words").over(own.orderBy("at").rowsBetween(Window.unboundedPreceding, 0))
+    left = F.count("*").over(own) - F.row_number().over(own.orderBy("at")) + 1
+    held = stretches.withColumn("upto", upto).withColumn("left", left).withColumn("all", F.sum("words").over(own)).filter(F.col("all") >= p.words)
+    held = stored(held.select("row", "at", "line", "left", "words", "upto", "id"), "stretches")
+    placed = held.repartitionByRange("row").sortWithinPartitions("row", "at").withColumn("pos", F.monotonically_increasing_id())
+    return stored(placed.drop("at"), "active")
+
+
+def _ranked(rows: DataFrame, keys: list[str], total: int, name: str) -> DataFrame:
+    """(pos, left, rank, first) of the rows whose keys occur twice: rank follows the order of the keys, first is their first place.
+
+    Equal keys are counted before the sort, so a common key is one row of it, and the numbers of a sorted table need no prefix sums.
+    total: at least the rows there are.
+    """
+    one = F.struct(*keys)
+    shared = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.min("pos").alias("first")).filter("n > 1")
+    ranks = stored(shared.orderBy(*keys).select(one.alias("key"), "n", "first", F.monotonically_increasing_id().alias("rank")), f"{name}-ranks")
+    return stored(join_groups(rows.withColumn("key", one), ranks, "key", "n", total).select("pos", "left", "rank", "first"), name)
+
+
+def suffix_levels(active: DataFrame, p: LineDedupParams) -> list[DataFrame]:
+    """For each level k, (pos, left, rank, first) of the places whose first 2^k lines occur twice."""
+    total = active.count()
+    levels = [_ranked(active.select("pos", "left", "id"), ["id"], total, "level-0")]
+    for k in range(p.levels):
+        step = 1 << k
+        heads = levels[-1].filter(F.col("left") >= 2 * step).select("pos", "left", F.col("rank").alias("half"))
+        tails = levels[-1].select((F.col("pos") - step).alias("pos"), F.col("rank").alias("second"))
+        levels.append(_ranked(heads.join(tails, "pos"), ["half", "second"], total, f"level-{k + 1}"))
     return levels
 
 
-def _later_copies(runs: DataFrame, levels: list[DataFrame], active: DataFrame) -> DataFrame:
-    """Lines of runs that aren't the first of their interval; a run is named by its length and the ranks of the two halves that cover it."""
-    length = F.col("last") - F.col("first") + 1
-    found = None
+def earlier_prefixes(levels: list[DataFrame]) -> DataFrame:
+    """(pos, length): the lines of the longest common prefix of the suffix at pos with one at an earlier place, 2^(last level) at most.
+
+    A place takes part in the interval of its prefix so far, named by its length and first place (node). To lengthen it by 2^j lines,
+    the interval's members are grouped by the rank of those lines; a group's first member goes on standing for the others
+    in the interval that it leaves, and is copied into the longer one, where the later members compare themselves with it.
+    """
+    later = stands = None
     for k, level in enumerate(levels):
-        size = 1 << k
-        of = runs.filter((length >= size) & (length < 2 * size))
-        head = level.select("doc_id", F.col("at").alias("first"), F.col("rank").alias("head"))
-        tail = level.select("doc_id", F.col("at").alias("tail_at"), F.col("rank").alias("tail"))
-        named = of.withColumn("tail_at", F.col("last") - size + 1).join(head, ["doc_id", "first"]).join(tail, ["doc_id", "tail_at"])
-        named = named.select("doc_id", "first", "last", F.struct((F.col("last") - F.col("first")).alias("length"), "head", "tail").alias("name"))
-        found = named if found is None else found.unionByName(named)
-    found = stored(found, "named-runs")
-    first = found.groupBy("name").agg(F.min(F.struct("doc_id", "first")).alias("origin"), F.count("*").alias("n")).filter("n > 1")
-    later = join_groups(found, first, "name", "n", found.count()).filter((F.col("doc_id") != F.col("origin.doc_id")) | (F.col("first") != F.col("origin.first")))
-    gone = later.select("doc_id", F.explode(F.sequence("first", "last")).alias("at")).distinct()
-    return gone.join(active.select("doc_id", "at", "line"), ["doc_id", "at"]).select("doc_id", "line")
+        own = level.filter("pos > first").select("pos", F.struct(F.lit(k).alias("k"), "first", "left").alias("at"))
+        later = own if later is None else later.unionByName(own)
+        one = level.filter("pos = first").select("pos", F.lit(k).alias("k"), "left", F.lit(1 << k).alias("length"), F.col("pos").alias("node"), F.lit(False).alias("asks"))
+        stands = one if stands is None else stands.unionByName(one)
+    start = later.groupBy("pos").agg(F.max("at").alias("at")).select("pos", "at.k", "at.left", F.expr("shiftleft(1, at.k)").alias("length"), F.col("at.first").alias("node"), F.lit(True).alias("asks"))
+    state = start.unionByName(stands)
+    last, total = len(levels) - 1, 2 * levels[0].count()  # an interval's standing member is a row beside those that ask
+    for j in range(last - 2, -1, -1):
+        state = stored(state, f"prefixes-{j}")
+        state = _lengthened(state, levels[j], j, last, total)
+    return state.filter("asks").select("pos", "length")
+
+
+def _lengthened(state: DataFrame, level: DataFrame, j: int, last: int, total: int) -> DataFrame:
+    """state after trying 2^j more lines on the prefixes of levels between j and the last, which is long enough."""
+    tries = F.col("k").between(j + 1, last - 1)
+    ranks = level.select(F.col("pos").alias("next"), "rank")
+    trying = state.filter(tries).withColumn("next", F.when(F.col("left") >= F.col("length") + (1 << j), F.col("pos") + F.col("length")))
+    key = F.struct("length", "node", "rank").alias("key")
+    # A place has a rank at the lines that follow only if these occur twice, too, and its stretch has as many.
+    known = trying.join(ranks, "next", "left").drop("next").select("*", F.when(F.col("rank").isNotNull(), key).alias("key")).drop("rank")
+    groups = known.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.min("pos").alias("first")).filter("n > 1")
+    joined = join_groups(known, groups, "key", "n", total, "left").drop("key", "n")
+    goes = F.coalesce(F.col("pos") > F.col("first"), F.lit(False))
+    longer = F.col("length") + (1 << j)
+    moved = joined.select("pos", "k", "left", F.when(goes, longer).otherwise(F.col("length")).alias("length"), F.when(goes, F.col("first")).otherwise(F.col("node")).alias("node"), "asks")
+    stands = joined.filter("pos = first").select("pos", "k", "left", longer.alias("length"), F.col("pos").alias("node"), F.lit(False).alias("asks"))
+    return state.filter(~tries).unionByName(moved).unionByName(stands)
+
+
+def repeated_lines(rows: DataFrame, params: LineDedupParams | None = None) -> DataFrame:
+    """(row, line, id) of every line of rows(row, text) to delete: it lies in a run of at least `words` words that occurs before, too.
+
+    Places are ordered by row, then line; rows must be numbers that aren't null or repeated.
+    """
+    p = params or LineDedupParams()
+    active = _active(stored(_lines(rows), "lines"), p)
+    found = earlier_prefixes(suffix_levels(active, p))
+    ends = found.select("pos", (F.col("pos") + F.col("length") - 1).alias("end")).join(active.select(F.col("pos").alias("end"), F.col("upto").alias("last_upto")), "end")
+    runs = active.join(ends, "pos", "left")
+    end = F.when(F.col("last_upto") - F.col("upto") + F.col("words") >= p.words, F.col("end"))
+    reach = F.max(end).over(Window.partitionBy("row").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
+    return runs.withColumn("reach", reach).filter("reach >= pos").select("row", "line", "id")
+
+
+def _differing(rows: DataFrame, gone: DataFrame) -> int:
+    """How many digests of deleted lines stand for lines of different bytes."""
+    ids = stored(gone.select("id").distinct(), "gone-digests")
+    lines = rows.select(F.explode(F.array_distinct(_split(F.col("text")))).alias("own")).withColumn("id", _digest(F.col("own")))
+    held = lines.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
+    return held.groupBy("id").agg(F.min("own").alias("a"), F.max("own").alias("b")).filter("a != b").count()
 
 
 def dedup_lines(docs: DataFrame, params: LineDedupParams | None = None) -> DataFrame:
@@ -130,31 +167,31 @@ def dedup_lines(docs: DataFrame, params: LineDedupParams | None = None) -> DataF
 
     Lines end at \\n; a null text counts as empty, one blank line. A line is deleted if it lies in a run of lines (blank
     lines between them aside) with at least `words` words that occurs before, in doc_id and line order, in this or another
-    document; runs may overlap their first copy. removed lists the deleted lines' numbers in order, comma-joined; clean_text has the
-    other lines. Rows with a null doc_id, and those that share one, are returned unchanged: n_removed 0. Other
-    columns aren't read; an empty table gives no rows.
+    document; runs may overlap their first copy. Null doc_ids come last; rows that share a doc_id, or have none, are documents of their
+    own, in the order of a hash of their texts. removed lists the deleted lines' numbers in order, comma-joined;
+    clean_text has the other lines. Other columns aren't read; an empty table gives no rows. Lines are told apart by 128-bit digests;
+    the bytes of deleted lines are compared, and the job fails if two different lines share a digest.
     """
-    own = docs.select("doc_id", "text")
-    repeated = stored(own.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id"), "repeated-ids")
-    single = own.filter("doc_id IS NOT NULL")
-    if not repeated.isEmpty():
-        single = single.join(repeated, "doc_id", "left_anti")
-    gone = repeated_lines(single, params).groupBy("doc_id").agg(F.array_sort(F.collect_list("line")).alias("gone"))
-    gone = stored(gone, "gone-lines")
-    out = own.join(F.broadcast(gone) if _few(gone) else gone, "doc_id", "left")
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    empty = F.array().cast("array<int>")
-    out = out.withColumn("gone", F.coalesce("gone", empty))
-    clean = F.when(F.size("gone") == 0, F.coalesce("text", F.lit(""))).otherwise(F.array_join(_without(lines, F.col("gone")), "\n"))
-    return out.select("doc_id", F.size(lines).cast("long").alias("n_lines"), F.size("gone").cast("long").alias("n_removed"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("removed"), clean.alias("clean_text"))
+    rows = numbered(docs.select("doc_id", "text"), "row")
+    gone = stored(repeated_lines(rows, params), "gone")
+    if _differing(rows, gone):
+        raise RuntimeError("two different lines share a digest")
+    lists = stored(gone.groupBy("row").agg(F.array_sort(F.collect_list("line")).alias("gone")), "gone-lines")
+    out = rows.join(F.broadcast(lists) if _few(lists) else lists, "row", "left")
+    gone_lines = F.coalesce("gone", F.array().cast("array<int>"))
+    clean = F.when(F.col("gone").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join(_without(_split(F.col("text")), F.col("gone")), "\n"))
+    return out.select("doc_id", F.size(_split(F.col("text"))).cast("long").alias("n_lines"), F.size(gone_lines).cast("long").alias("n_removed"), F.array_join(gone_lines.cast("array<string>"), ",").alias("removed"), clean.alias("clean_text"))
 
 
 def _without(lines: Column, gone: Column) -> Column:
-    """The lines whose numbers aren't in gone."""
-    return F.transform(F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone), lambda i: F.element_at(lines, i + 1))
+    """The lines whose numbers aren't in gone, which is sorted: a mask is laid beside the lines, so that the work is linear."""
+    before = lambda i: F.coalesce(F.get(gone, i - 1), F.lit(-1))
+    mask = F.flatten(F.transform(gone, lambda g, i: F.concat(F.array_repeat(F.lit(False), (g - before(i) - 1).cast("int")), F.array(F.lit(True)))))
+    beside = F.arrays_zip(lines.alias("line"), mask.alias("out"))
+    return F.transform(F.filter(beside, lambda x: ~F.coalesce(x["out"], F.lit(False))), lambda x: x["line"])
 
 
-def _few(gone: DataFrame) -> bool:
-    """Whether the lists of deleted lines are few and short enough to broadcast: at most BROADCAST_IDS doc_ids and lines."""
-    n = gone.agg(F.coalesce(F.sum(F.size("gone") + 1), F.lit(0))).first()[0]
+def _few(lists: DataFrame) -> bool:
+    """Whether the lists of deleted lines are few and short enough to broadcast: at most BROADCAST_IDS rows and lines."""
+    n = lists.agg(F.coalesce(F.sum(F.size("gone") + 1), F.lit(0))).first()[0]
     return n <= BROADCAST_IDS

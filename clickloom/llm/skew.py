@@ -14,16 +14,21 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str, count: str, total:
 
     Fewer than HEAVY_SHARE keys can have more than total / HEAVY_SHARE rows: those are broadcast, a proven bound, so
     no task gathers a heavy key; all other keys are shuffled. rows is read twice and should be stored. `how` is inner
-    or left; null keys match nothing.
+    or left; null keys match nothing and aren't shuffled.
     """
     least = max(1, total // HEAVY_SHARE)
     heavy = groups.filter(F.col(count) > least)
     light = groups.filter(F.col(count) <= least)
     names = [c for c in groups.columns if c != key]
-    marked = rows.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), key, "left")
+    named = rows.filter(F.col(key).isNotNull())
+    marked = named.join(F.broadcast(heavy.withColumn("__heavy", F.lit(True))), key, "left")
     by_task = marked.filter(F.col("__heavy").isNotNull()).drop("__heavy")
     rest = marked.filter(F.col("__heavy").isNull()).drop("__heavy", *names).join(light, key, how)
-    return by_task.select(rest.columns).unionByName(rest)
+    out = by_task.select(rest.columns).unionByName(rest)
+    if how == "inner":
+        return out
+    nameless = rows.filter(F.col(key).isNull()).select("*", *[F.lit(None).cast(groups.schema[c].dataType).alias(c) for c in names])
+    return out.unionByName(nameless)
 
 
 def salts(count: Column, per_task: int) -> Column:
