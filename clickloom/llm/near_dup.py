@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .arrow import map_batches
+from .rows import numbered
 from .skew import join_groups, salts
 from .wordhash import mix, overlap, shingle_sets
 
@@ -56,18 +57,24 @@ def least_matches(p: NearDupParams) -> list[tuple[int, int]]:
     return out
 
 
-def signatures(sets: list[np.ndarray], p: NearDupParams) -> np.ndarray:
-    """A row of `hashes` bytes for each non-empty set: one byte of each min-wise hash."""
+def signatures(sets: list[np.ndarray], p: NearDupParams) -> tuple[np.ndarray, np.ndarray]:
+    """For each non-empty set a row of `hashes` bytes, one of each min-wise hash, and a row of band keys.
+
+    A band key is a 64-bit digest of the band's whole hashes, whose last bits are the band's number.
+    """
     sizes = np.array([len(s) for s in sets])
     x = (np.concatenate(sets) >> np.uint64(32)).astype(np.uint32)
     starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     keys = mix(np.arange(1, 2 * p.hashes + 1, dtype=np.uint64))
     out = np.empty((len(sets), p.hashes), np.uint8)
+    bands = np.zeros((len(sets), p.bands), np.uint64)
     for i in range(p.hashes):
         y = x * np.uint32(int(keys[2 * i]) & 0xFFFFFFFF | 1) + np.uint32(int(keys[2 * i + 1]) & 0xFFFFFFFF)
         least = np.minimum.reduceat(y, starts)
         out[:, i] = (least >> np.uint32(20)) ^ (least >> np.uint32(9)) ^ least
-    return out
+        bands[:, i // p.rows] = mix(bands[:, i // p.rows] + least + np.uint64(i + 1))
+    low = np.uint64((1 << (p.bands - 1).bit_length()) - 1)
+    return out, (bands & ~low | np.arange(p.bands, dtype=np.uint64)).view(np.int64)
 
 
 def _lowered(texts: pa.Array) -> list[bytes]:
@@ -75,11 +82,11 @@ def _lowered(texts: pa.Array) -> list[bytes]:
     return [(t.as_py() or b"").lower() for t in texts.cast(pa.binary())]
 
 
-_SETS = "doc_id long, n_shingles long, digest binary, sig binary"
+_SETS = "row long, n_shingles long, digest binary, sig binary, bands binary"
 
 
-def document_sets(docs: DataFrame, p: NearDupParams) -> DataFrame:
-    """doc_id, n_shingles, and of non-empty sets a 128-bit digest and the signature."""
+def document_sets(rows: DataFrame, p: NearDupParams) -> DataFrame:
+    """row, n_shingles, and of non-empty sets a 128-bit digest, the signature and the band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -89,13 +96,14 @@ def document_sets(docs: DataFrame, p: NearDupParams) -> DataFrame:
                 full = [i for i, s in enumerate(sets) if len(s)]
                 digests: list = [None] * len(sets)
                 sigs: list = [None] * len(sets)
+                bands: list = [None] * len(sets)
                 if full:
-                    for i, row in zip(full, signatures([sets[i] for i in full], p), strict=True):
-                        sigs[i] = row.tobytes()
+                    for i, row, own in zip(full, *signatures([sets[i] for i in full], p), strict=True):
+                        sigs[i], bands[i] = row.tobytes(), own.tobytes()
                         digests[i] = np.array([mix(sets[i] ^ np.uint64(len(sets[i]))).sum(), mix(sets[i] + np.uint64(0x1234567)).sum()], np.uint64).tobytes()
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "n_shingles", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(sigs, pa.binary()), pa.array(bands, pa.binary())], ["row", "n_shingles", "digest", "sig", "bands"])
 
-    return map_batches(docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")), run, _SETS)
+    return map_batches(rows.select("row", F.coalesce("text", F.lit("")).alias("text")), run, _SETS)
 
 
 def _survives(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.ndarray:
@@ -108,10 +116,12 @@ def _survives(a: np.ndarray, b: np.ndarray, steps: list[tuple[int, int]]) -> np.
     return alive
 
 
-def _pruned(pairs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
-    """pairs(hub, id) that sequential Bayesian comparison of signatures leaves."""
+def _pruned(pairs: DataFrame, hubs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
+    """The pairs(hub, id) that sequential Bayesian comparison of signatures leaves; hubs(hub, n) counts them, and a hub of many meets them where they are."""
     steps = least_matches(p)
-    both = pairs.join(nodes.select(F.col("id"), F.col("sig").alias("a")), "id").join(nodes.select(F.col("id").alias("hub"), F.col("sig").alias("b")), "hub").select("hub", "id", "a", "b")
+    sig = nodes.select("id", "sig")
+    of_hub = hubs.join(sig.select(F.col("id").alias("hub"), F.col("sig").alias("b")), "hub")
+    both = join_groups(stored(pairs.join(sig.withColumnRenamed("sig", "a"), "id"), "signed-pairs"), of_hub, "hub", "n", pairs.count()).select("hub", "id", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -122,9 +132,9 @@ def _pruned(pairs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame:
     return map_batches(both, run, "hub long, id long")
 
 
-def _node_texts(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the documents in ids; doc_ids aren't repeated here."""
-    texts = docs.select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+def _node_texts(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the rows in ids."""
+    texts = rows.select(F.col("row").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "id", "left_semi")
 
 
@@ -168,18 +178,23 @@ def components(edges: DataFrame, name: str) -> DataFrame:
     """(id, label) of every id in edges(hub, id): label is the smallest id that it reaches.
 
     Each round takes the smallest label among an id's neighbours, then its label's label; rounds are stored, and their
-    number grows with the logarithm of a component's width, as good as always.
+    number grows with the logarithm of a component's width, as good as always. Hubs and labels that many rows have in common are looked
+    up by join_groups.
     """
     both = stored(edges.select("hub", "id").union(edges.select("id", "hub")).distinct(), f"{name}-edges")
-    labels = stored(both.groupBy("id").agg(F.least(F.min("hub"), F.min("id")).alias("label")), f"{name}-labels")
+    total = both.count()
+    labels = stored(both.groupBy("id").agg(F.least(F.min("hub"), F.min("id")).alias("label"), F.count("*").alias("n")), f"{name}-labels")
     while True:
-        near = both.join(labels.select(F.col("id").alias("hub"), F.col("label").alias("other")), "hub").groupBy("id").agg(F.min("other").alias("other"))
-        hooked = labels.join(near, "id").select("id", "label", F.least("label", "other").alias("new"))
-        jumped = hooked.join(labels.select(F.col("id").alias("new"), F.col("label").alias("next")), "new", "left").select("id", F.least("new", F.coalesce("next", "new")).alias("label"), F.col("label").alias("old"))
+        of_hub = labels.select(F.col("id").alias("hub"), F.col("label").alias("other"), "n")
+        near = join_groups(both, of_hub, "hub", "n", total).groupBy("id").agg(F.min("other").alias("other"))
+        hooked = stored(labels.join(near, "id").select("id", "n", "label", F.least("label", "other").alias("new")), f"{name}-hooked")
+        shared = hooked.groupBy("new").agg(F.count("*").alias("times"))
+        next_ = shared.join(labels.select(F.col("id").alias("new"), F.col("label").alias("next")), "new")
+        jumped = join_groups(hooked, next_, "new", "times", total).select("id", "n", F.least("new", "next").alias("label"), F.col("label").alias("old"))
         done = stored(jumped, f"{name}-labels")
-        labels = done.select("id", "label")
+        labels = done.select("id", "label", "n")
         if not done.filter("label != old").count():
-            return labels
+            return labels.drop("n")
 
 
 def _crossing(bands: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataFrame, p: NearDupParams) -> DataFrame | None:
@@ -190,12 +205,12 @@ def _crossing(bands: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataF
     of the others. A pair is compared in the first band that it shares, pruned by signatures, and verified exactly unless its ends
     have been linked in the task before. What is stored of a bucket is its members, never its pairs.
     """
-    labelled = bands.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label"))
-    open_ = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("band")
+    labelled = stored(bands.join(labels, "id", "left").select("band", "id", F.coalesce("label", "id").alias("label")), "labelled")
+    open_ = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).filter("lo != hi").select("band", "n")
     open_ = stored(open_, "open-buckets")
     if open_.isEmpty():
         return None
-    rows = stored(labelled.join(open_, "band"), "open-rows")
+    rows = stored(join_groups(labelled, open_, "band", "n", labelled.count()).drop("n"), "open-rows")
     sizes = rows.groupBy("band", "label").agg(F.count("*").alias("m")).groupBy("band").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("main"))
     main_parts, other_parts = salts(F.col("main.m"), BLOCK_ROWS), salts(F.col("n") - F.col("main.m"), BLOCK_ROWS)
     sizes = stored(sizes.select("band", "n", F.col("main.label").alias("main"), main_parts.alias("main_parts"), other_parts.alias("other_parts")), "open-sizes")
@@ -216,10 +231,10 @@ def _crossing(bands: DataFrame, labels: DataFrame, docs: DataFrame, nodes: DataF
                 yield pa.RecordBatch.from_arrays([pa.array([x[c] for x in links], pa.int64()) for c in (0, 1)], ["hub", "id"])
 
     # First the members with a partner that isn't pruned, by signatures alone; only their texts are then dealt.
-    near = stored(map_batches(_by_cell(cells.join(nodes.select("id", "sig"), "id"), "sig"), paired, schema), "open-members")
+    near = stored(map_batches(_by_cell(cells.join(nodes.select("id", "sig", "bands"), "id"), "sig", "bands"), paired, schema), "open-members")
     ids = stored(near.select("id").distinct(), "open-ids")
-    texts = _node_texts(docs, ids).join(nodes.select("id", "sig"), "id")
-    return map_batches(_by_cell(near.join(texts, "id"), "sig", "text"), linked, "hub long, id long")
+    texts = _node_texts(docs, ids).join(nodes.select("id", "sig", "bands"), "id")
+    return map_batches(_by_cell(near.join(texts, "id"), "sig", "bands", "text"), linked, "hub long, id long")
 
 
 def _block_pairs(rows: DataFrame) -> DataFrame:
@@ -255,13 +270,17 @@ def _cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[tupl
 
 
 def _cell_pairs(rows: list[tuple], band: int, across: bool, p: NearDupParams, steps: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(equal hashes, i, j) of the pairs of rows(block, id, label, sig, ...) of different components that aren't pruned, most alike first."""
+    """(equal hashes, i, j) of the pairs of rows(block, id, label, sig, bands, ...) of different components that aren't pruned, most alike first.
+
+    A pair is left to the first band that it shares.
+    """
     block = np.array([r[0] for r in rows])
     label = np.array([r[2] for r in rows])
     if (label == label[0]).all():
         return []
     sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), p.hashes)
-    keys = sig.reshape(len(rows), p.bands, p.rows).copy().view(np.uint32).reshape(len(rows), p.bands) if p.rows == 4 else None
+    keys = np.frombuffer(b"".join(r[4] for r in rows), np.int64).reshape(len(rows), p.bands)
+    earlier = int(np.flatnonzero(keys[0] == band)[0])
     found: list[tuple[int, int, int]] = []
     for i in range(len(rows) - 1):
         j = np.arange(i + 1, len(rows))
@@ -271,8 +290,8 @@ def _cell_pairs(rows: list[tuple], band: int, across: bool, p: NearDupParams, st
         j = j[on]
         if len(j):
             j = j[_survives(np.broadcast_to(sig[i], (len(j), p.hashes)), sig[j], steps)]
-        if len(j) and keys is not None:
-            j = j[(keys[j, : (band >> 32)] != keys[i, : (band >> 32)]).all(1)]
+        if len(j) and earlier:
+            j = j[(keys[j, :earlier] != keys[i, :earlier]).all(1)]
         for x in j:
             found.append((int((sig[i] == sig[x]).sum()), i, int(x)))
     found.sort(reverse=True)
@@ -297,7 +316,7 @@ def _cell_links(rows: list[tuple], found: list[tuple[int, int, int]], p: NearDup
             continue
         for x in (i, j):
             if x not in sets:
-                sets[x] = shingle_sets([rows[x][4].encode().lower()], p.words)[0]
+                sets[x] = shingle_sets([rows[x][5].encode().lower()], p.words)[0]
         if _similar(sets[i], sets[j], p.percent):
             parent[max(a, b)] = min(a, b)
             links.append((rows[i][1], rows[j][1]))
@@ -310,40 +329,53 @@ def near_duplicates(docs: DataFrame, params: NearDupParams | None = None) -> Dat
     Words are split at bytes 0x09-0x0D and 0x20, A-Z lower-cased. A document's set has its distinct shingles; with fewer words, the
     whole sequence; without words or text it is empty and linked with nothing. Documents whose sets have
     100 * intersection >= percent * union are linked; component_id is the smallest doc_id reachable. kept: doc_id = component_id.
-    Rows with a null doc_id take no part in links: component_id null, kept true. Rows that share a doc_id are one
-    document, the largest text, and have its result each. Other columns aren't read; an empty table gives no rows.
+    Every row is a document, also those that share a doc_id or have none: null counts as the largest doc_id, and of the rows that share a
+    component's smallest doc_id, the first by a hash of their texts is kept. Other columns aren't read; an empty table gives no rows.
 
     Equal sets are one node. Each bucket of a band first links its members to its smallest; components follow; buckets
     with several components are then compared pair by pair. No pair that shares a band is left out.
     """
-    p = params or NearDupParams()
-    sets = stored(document_sets(docs, p), "sets")
-    repeated = sets.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("__times")).filter("__times > 1")
-    if not repeated.isEmpty():
-        once = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("text").alias("text"))
-        nameless = docs.select("doc_id", "text").filter("doc_id IS NULL")
-        out = near_duplicates(stored(once.unionByName(nameless), "once"), p).join(repeated, "doc_id", "left")
-        return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.coalesce("__times", F.lit(1)).cast("int")))).drop("__copy", "__times")
-    usable = sets.filter("doc_id IS NOT NULL AND digest IS NOT NULL")
-    nodes = stored(usable.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count("*").alias("n"), F.max("sig").alias("sig")), "nodes")
-    linked = _node_components(nodes, docs, p)
-    named = nodes.select("digest", "n", "id").join(linked, "id", "left").select("digest", "n", F.coalesce("label", "id").alias("component_id"))
-    total = sets.count()
-    out = join_groups(sets.select("doc_id", "n_shingles", "digest"), named, "digest", "n", total, "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
-
-
-def _node_components(nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> DataFrame:
-    step = p.rows
-    keys = F.array(*[F.conv(F.hex(F.substring("sig", 1 + i * step, step)), 16, 10).cast("long").bitwiseOR(F.lit(i << 32)) for i in range(p.bands)])
-    bands = nodes.select("id", F.explode(keys).alias("band"))
-    buckets = bands.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    bands = stored(bands.join(buckets, "band"), "bands")
-    stars = bands.filter("id != hub").select("hub", "id").distinct()
-    edges = stored(_verified(stored(_pruned(stars, nodes, p), "pairs"), docs, p), "links")
+    rows = numbered(docs.select("doc_id", "text"), "row")
+    out = _components_of_rows(rows, params or NearDupParams())
+    # A component has few smallest rows and may have many others: its doc_id is looked up by groups.
+    named = stored(out.select("row", "n_shingles", "component"), "row-components")
+    shared = named.groupBy("component").agg(F.count("*").alias("__n")).filter("__n > 1")
+    ids = rows.select(F.col("row").alias("component"), F.col("doc_id").alias("component_id")).join(shared, "component")
+    found = join_groups(named, ids, "component", "__n", named.count(), "left").select("row", "n_shingles", "component", "component_id")
+    both = rows.select("row", "doc_id").join(found, "row")
+    return both.select("doc_id", "n_shingles", F.when(F.col("component") == F.col("row"), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), (F.col("component") == F.col("row")).alias("kept"))
+
+
+def _components_of_rows(rows: DataFrame, p: NearDupParams) -> DataFrame:
+    """(row, n_shingles, component) of rows(row, text), whose numbers aren't null or repeated: component is the smallest row reachable."""
+    sets = stored(document_sets(rows, p), "sets")
+    nodes = stored(sets.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("id"), F.count("*").alias("n"), F.max("sig").alias("sig"), F.max("bands").alias("bands")), "nodes")
+    linked = _node_components(nodes, rows, p)
+    named = nodes.select("digest", "n", "id").join(linked, "id", "left").select("digest", "n", F.coalesce("label", "id").alias("component"))
+    out = join_groups(sets.select("row", "n_shingles", "digest"), named, "digest", "n", sets.count(), "left")
+    return out.select("row", "n_shingles", F.coalesce("component", "row").alias("component"))
+
+
+def _band_rows(nodes: DataFrame, p: NearDupParams) -> DataFrame:
+    """(id, band) of every band key of the nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), p.bands)), pa.array(keys)], ["id", "band"])
+
+    return map_batches(nodes.select("id", "bands"), run, "id long, band long")
+
+
+def _node_components(nodes: DataFrame, rows: DataFrame, p: NearDupParams) -> DataFrame:
+    every = stored(_band_rows(nodes, p), "bands")
+    buckets = every.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    bands = stored(join_groups(every, buckets, "band", "n", every.count()), "shared-bands")
+    stars = stored(bands.filter("id != hub").select("hub", "id").distinct(), "stars")
+    hubs = stored(stars.groupBy("hub").agg(F.count("*").alias("n")), "star-hubs")
+    edges = stored(_verified(stored(_pruned(stars, hubs, nodes, p), "pairs"), rows, p), "links")
     labels = components(edges, "first")
-    more = _crossing(bands.select("band", "id"), labels, docs, nodes, p)
+    more = _crossing(bands.select("band", "id"), labels, rows, nodes, p)
     if more is None:
         return labels
     more = stored(more, "more-links")
@@ -351,8 +383,13 @@ def _node_components(nodes: DataFrame, docs: DataFrame, p: NearDupParams) -> Dat
 
 
 def keep_one_of_each_group(docs: DataFrame, params: NearDupParams | None = None) -> DataFrame:
-    """The rows of docs that stay, one document of each group, with all their columns."""
-    gone = near_duplicates(docs, params).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone")).distinct()
-    gone = stored(gone, "near-gone")
+    """The rows of docs(doc_id, text, ...) that stay, one document of each group, with all their columns.
+
+    It is the one with the smallest doc_id, null last, of equal ones the first by a hash of the text. Documents without words all
+    stay; an empty table stays empty.
+    """
+    rows = numbered(docs, "__row")
+    out = _components_of_rows(rows.select(F.col("__row").alias("row"), "text"), params or NearDupParams())
+    gone = stored(out.filter("component != row").select(F.col("row").alias("__row")), "near-gone")
     other = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(other, F.col("doc_id") == F.col("__gone"), "left_anti")
+    return rows.join(other, "__row", "left_anti").select(*[f"`{c}`" for c in docs.columns])

@@ -88,13 +88,33 @@ def test_nulls_repeated_ids_ties_and_empty_tables(spark):
     at = {r["doc_id"]: r for r in out}
     assert (at[2]["component_id"], at[2]["kept"], at[7]["component_id"], at[6]["n_shingles"]) == (1, False, 6, 1)
     assert all(at[i]["kept"] and at[i]["n_shingles"] == 0 for i in (3, 4, 5))
-    assert at[None]["component_id"] is None and at[None]["kept"]
-    assert [r["n_shingles"] for r in out if r["doc_id"] == 8] == [2, 2, 2]
-    docs = spark.createDataFrame(rows[:8], "doc_id long, text string")
-    assert keep_one_of_each_group(docs, NearDupParams(words=2)).count() == 6
+    assert at[None]["component_id"] == 1 and not at[None]["kept"]
+    eights = [r for r in out if r["doc_id"] == 8]  # "b c" twice, and "b c d", which isn't alike
+    assert sorted((r["n_shingles"], r["component_id"], r["kept"]) for r in eights) == [(1, 8, False), (1, 8, True), (2, 8, True)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = keep_one_of_each_group(docs, NearDupParams(words=2))
+    assert sorted(r["text"] or "" for r in kept.collect()) == sorted([text, "", "", " \t\n", "one", "b c", "b c d"])
     assert near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_rows_without_ids_link_through_each_other(spark):
+    words = [f"w{i}" for i in range(70)]
+    rows = [(None, " ".join(words[:60])), (None, " ".join(words[3:63])), (4, " ".join(words[6:66])), (4, "else entirely"), (None, "alone here")]
+    out = near_duplicates(spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, row int"), NearDupParams(words=2)).collect()
+    assert sorted((r["doc_id"] or 0, r["component_id"] or 0, r["kept"]) for r in out) == [(0, 0, True), (0, 4, False), (0, 4, False), (4, 4, True), (4, 4, True)]
+
+
+def test_very_long_texts_and_a_hub_of_a_third_of_all(spark):
+    rng = random.Random(3)
+    long = [f"w{rng.randrange(5000)}" for _ in range(120_000)]
+    rows = [(1, " ".join(long)), (2, " ".join([*long[:-50], "x"])), (3, " ".join(reversed(long)))]
+    near = [f"v{i}" for i in range(80)]
+    rows += [(100 + i, " ".join([*near, f"own{i}"])) for i in range(400)] + [(1000 + i, " ".join(f"u{i * 50 + k}" for k in range(40))) for i in range(600)]
+    out = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out[2] == 1 and out[3] == 3
+    assert {out[100 + i] for i in range(400)} == {100} and all(out[1000 + i] == 1000 + i for i in range(600))
+
+
 def test_bounds_and_components(spark):
     steps = least_matches(NearDupParams())
     assert [n for n, _ in steps] == [32, 64, 96, 128] and all(m < 0.8 * n for n, m in steps)
