@@ -124,11 +124,11 @@ def earlier_prefixes(levels: list[DataFrame]) -> DataFrame:
 
 def _lengthened(state: DataFrame, level: DataFrame, j: int, last: int, total: int) -> DataFrame:
     """state after trying 2^j more lines on the prefixes of levels between j and the last, which is long enough."""
-    tries = F.col("k").between(j + 1, last - 1)
+    tries = F.col("k").between(j + 1, last - 1) & (F.col("left") >= F.col("length") + (1 << j))
     ranks = level.select(F.col("pos").alias("next"), "rank")
-    trying = state.filter(tries).withColumn("next", F.when(F.col("left") >= F.col("length") + (1 << j), F.col("pos") + F.col("length")))
+    trying = state.filter(tries).withColumn("next", F.col("pos") + F.col("length"))
     key = F.struct("length", "node", "rank").alias("key")
-    # A place has a rank at the lines that follow only if these occur twice, too, and its stretch has as many.
+    # A place has a rank at the lines that follow only if these occur twice, too.
     known = trying.join(ranks, "next", "left").drop("next").select("*", F.when(F.col("rank").isNotNull(), key).alias("key")).drop("rank")
     groups = known.filter("key IS NOT NULL").groupBy("key").agg(F.count("*").alias("n"), F.min("pos").alias("first")).filter("n > 1")
     joined = join_groups(known, groups, "key", "n", total, "left").drop("key", "n")
