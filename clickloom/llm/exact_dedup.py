@@ -14,14 +14,19 @@ VERIFY_ROWS = 2000
 BROADCAST_GROUPS = 500_000
 #: The filter of a file is as large as its digests need, not as the largest allowed.
 _BLOOM = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+#: Folders of a run, by the first bits of the digest.
+SHARDS = 16
+#: Digests that one look-up asks for; Spark pushes longer lists down as a range only.
+_ASKED = 10
 
 
 class DigestIndex:
     """Sorted runs of (digest, id, rows), each stored with Bloom filters, merged by compaction.
 
     flush() turns a batch of documents into a run: each task's hash table of partial aggregates is the memtable, and the
-    run is sorted by digest within its files. compact() merges all runs into one, keeping each digest's smallest identifier
-    (or largest) and its number of rows. Nothing here reads the Bloom filters; they serve later point lookups by digest.
+    run is sorted by digest within its files, one folder a shard of the digests. compact() merges all runs into one, keeping each
+    digest's smallest identifier (or largest) and its number of rows. lookup() finds digests in all runs: it reads the folders of their
+    shards alone, and there the parts of files whose least and largest digest and Bloom filter may have them.
     """
 
     def __init__(self, spark: SparkSession, keep: str = "smallest") -> None:
@@ -32,20 +37,41 @@ class DigestIndex:
     def _best(self, c: str) -> Column:
         return F.min(c) if self.keep == "smallest" else F.max(c)
 
+    def _written(self, run: DataFrame, name: str) -> DataFrame:
+        return stored(run.withColumn("shard", _shard(F.col("digest"))).sortWithinPartitions("shard", "digest"), name, ["shard"], **_BLOOM)
+
     def flush(self, digests: DataFrame) -> None:
         """Add digests(digest, doc_id) as a run."""
         run = digests.groupBy("digest").agg(self._best("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        self.runs.append(stored(run.sortWithinPartitions("digest"), "digest-run", **_BLOOM))
+        self.runs.append(self._written(run, "digest-run"))
 
     def compact(self) -> DataFrame:
         """Merge all runs into one; a single run is already compact."""
         if len(self.runs) > 1:
-            merged = self.runs[0]
-            for run in self.runs[1:]:
-                merged = merged.unionByName(run)
-            merged = merged.groupBy("digest").agg(self._best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-            self.runs = [stored(merged.sortWithinPartitions("digest"), "digest-level", **_BLOOM)]
-        return self.runs[0]
+            self.runs = [self._written(self._merged(self.runs), "digest-level")]
+        return self.runs[0].drop("shard")
+
+    def _merged(self, runs: list[DataFrame]) -> DataFrame:
+        merged = runs[0]
+        for run in runs[1:]:
+            merged = merged.unionByName(run)
+        return merged.groupBy("digest").agg(self._best("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+    def lookup(self, digests: list[bytes]) -> DataFrame:
+        """(digest, keep_id, group_size) of those digests that the index has, as after a compaction."""
+        if not digests:
+            return self._merged(self.runs).limit(0)
+        hits = []
+        for lo in range(0, len(digests), _ASKED):
+            some = digests[lo : lo + _ASKED]
+            asked = F.col("shard").isin(sorted({d[0] * SHARDS // 256 for d in some})) & F.col("digest").isin([bytearray(d) for d in some])
+            hits += [run.filter(asked) for run in self.runs]
+        return self._merged(hits)
+
+
+def _shard(digest: Column) -> Column:
+    """The digest's first byte, scaled to SHARDS."""
+    return F.floor(F.conv(F.hex(F.substring(digest, 1, 1)), 16, 10).cast("int") * SHARDS / 256).cast("int")
 
 
 def text_digests(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -1,6 +1,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from clickloom.llm import exact_dedup
 from clickloom.llm.exact_dedup import DigestIndex, dedup_exact, keep_one_of_each, text_digests
@@ -46,3 +47,26 @@ def test_runs_merge_and_heavy_groups_are_verified_in_parts(spark, monkeypatch):
     docs = spark.range(3000).selectExpr("id AS doc_id", "if(id % 3 = 0, 'hot', cast(id AS string)) AS text")
     out = dedup_exact(docs, "largest").collect()
     assert sum(r["kept"] for r in out) == 2001 and {r["keep_id"] for r in out if r["group_size"] == 1000} == {2997}
+
+
+def test_lookup_reads_the_shards_of_the_digests_alone(spark):
+    index = DigestIndex(spark, "smallest")
+    for lo in (0, 500):
+        index.flush(text_digests(spark.range(lo, lo + 600).selectExpr("id AS doc_id", "cast(id % 900 AS string) AS text")))
+    asked = [hashlib.sha256(t).digest() for t in (b"7", b"550", b"899", b"none")]
+    for _ in range(2):
+        got = {bytes(r["digest"]): (r["keep_id"], r["group_size"]) for r in index.lookup(asked).collect()}
+        assert got == {asked[0]: (7, 2), asked[1]: (550, 2), asked[2]: (899, 1)}
+        plan = index.lookup(asked[:1])._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(shard" in plan and "PushedFilters: [IsNotNull(digest), EqualTo(digest" in plan.replace("In(digest", "EqualTo(digest")
+        whole, read = (sum(files(spark, run, shard) for run in index.runs) for shard in (None, asked[0][0] // 16))
+        assert 0 < read < whole / 4
+        index.compact()
+    many = [hashlib.sha256(str(i).encode()).digest() for i in range(25)]
+    assert index.lookup(many).count() == 25 and index.lookup([]).count() == 0
+
+
+def files(spark, run, shard):
+    """How many files a scan of the run, or of one shard of it, reads."""
+    rows = run if shard is None else run.filter(f"shard = {shard}")
+    return rows.select(F.input_file_name()).distinct().count()
