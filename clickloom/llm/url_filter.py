@@ -43,10 +43,14 @@ def _reversed(host: Column) -> Column:
     return F.concat(F.array_join(F.reverse(F.split(host, r"\.", -1)), "."), F.lit("."))
 
 
-def _suffix_keys(host: Column, path: Column) -> Column:
-    """A key for each suffix of labels: the reversed suffix, the end mark and the path, in which a rule's key is a prefix."""
-    labels = F.reverse(F.split(host, r"\.", -1))
-    return F.transform(F.sequence(F.lit(1), F.size(labels)), lambda n: F.concat(F.array_join(F.slice(labels, 1, n), "."), F.lit("." + _END), path))
+def _suffix_keys(host: Column, path: Column, labels: int, width: int) -> Column:
+    """A key for each suffix of up to so many labels: the reversed suffix, the end mark and the path, in which a rule's key is a prefix.
+
+    A key is cut at `width` characters, the longest rule's; so a long host or path makes no more and no longer keys than the rules need.
+    """
+    ends = F.slice(F.reverse(F.split(host, r"\.", -1)), 1, labels)
+    key = lambda n: F.substring(F.concat(F.array_join(F.slice(ends, 1, n), "."), F.lit("." + _END), F.substring(path, 1, width)), 1, width)
+    return F.transform(F.sequence(F.lit(1), F.size(ends)), key)
 
 
 def _stacks(rules: DataFrame) -> DataFrame:
@@ -70,7 +74,8 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDIC
     rules(verdict, host, path): a rule fits its host and all subdomains if the url's path starts with the rule's; the longest
     host + path wins, of equally long ones the longer host; of repeated rules the first verdict in code point order
     counts. rule is null and the verdict the default where none fits; a null url or one without :// has an empty host and path.
-    Repeated and null page_ids are returned as they are; other columns aren't read; an empty table gives no rows.
+    Repeated and null page_ids are returned as they are; other columns aren't read; an empty table gives no rows, and without rules the
+    default is the verdict. The work for a url is bounded by the labels and the length of the longest rule, whatever its host's length.
 
     Every suffix of a url's host, with its path, is a key; a rule is the interval of keys that begin with its own. Rules and
     url keys are sorted together over range partitions; the sweep passes on the rule opened last, with the stack of rules
@@ -79,9 +84,12 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT_VERDIC
     """
     host, path = url_parts(F.col("url"))
     rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
-    opens = _stacks(rules).select("key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), "stack")
+    stacks = stored(_stacks(rules), "rule-stacks")
+    # The longest rule bounds the keys of all urls.
+    labels, width = stacks.agg(F.max(F.size(F.split(F.substring_index("key", _END, 1), r"\.", -1)) - 1), F.max(F.length("key"))).first()
+    opens = stacks.select("key", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), "stack")
     urls = stored(rows.groupBy("url", "host", "path").agg(F.count("*").alias("n")), "urls")
-    probes = urls.filter("host != ''").select("url", F.explode(_suffix_keys(F.col("host"), F.col("path"))).alias("key"))
+    probes = urls.filter("host != ''").select("url", F.explode(_suffix_keys(F.col("host"), F.col("path"), labels or 1, width or 1)).alias("key"))
     probes = probes.select("key", F.lit(1).alias("kind"), "url", F.lit(None).cast(opens.schema["stack"].dataType).alias("stack"))
     sweep = stored(opens.unionByName(probes).repartitionByRange("key", "kind", "url").withColumn("block", F.spark_partition_id()), "url-sweep")
     ends = sweep.groupBy("block").agg(F.max_by("stack", F.when(F.col("kind") == 0, F.col("key"))).alias("last"))

@@ -1,5 +1,8 @@
 import random
 
+from pyspark.sql import functions as F
+
+from clickloom.llm import url_filter
 from clickloom.llm.url_filter import RULES, judge_urls, rule_frame
 
 
@@ -43,3 +46,12 @@ def test_production_rules_hot_urls_and_empty_tables(spark):
     assert judge_urls(pages.limit(0), rule_frame(spark)).count() == 0
     assert {r["verdict"] for r in judge_urls(pages, rule_frame(spark).limit(0)).collect()} == {"allow"}
     assert len(RULES) == 5
+
+
+def test_very_long_hosts_and_paths_make_few_short_keys(spark):
+    long = ".".join(["a"] * 30_000) + ".www.example.com"
+    rows = [(1, f"http://{long}/en/" + "x" * 100_000), (2, f"http://{long}/de"), (3, "http://" + "b" * 200_000 + ".net/es/"), (4, "http://" + "." * 5000), (5, "http://com" + "/y" * 50_000)]
+    out = {r["page_id"]: (r["rule"], r["verdict"]) for r in judge_urls(spark.createDataFrame(rows, "page_id long, url string"), rule_frame(spark)).collect()}
+    assert out == {1: ("www.example.com/en/", "allow"), 2: ("com/", "allow"), 3: ("net/es/", "block"), 4: (None, "allow"), 5: ("com/", "allow")}
+    keys = spark.createDataFrame([(long, "/p" * 999)], "h string, p string").select(url_filter._suffix_keys(F.col("h"), F.col("p"), 3, 24).alias("k")).first()["k"]
+    assert len(keys) == 3 and all(len(k) <= 24 for k in keys)
