@@ -20,8 +20,8 @@ _K = np.uint64(0x9E3779B97F4A7C15)
 class QualityParams:
     """buckets: of hashed words and n-grams (a power of two). dim: of a vector. grams: lengths of character n-grams, in bytes.
     steps: mini-batches of `batch` documents, over as many passes as that takes. rate: falls from it to 0.
-    train_docs: at most so many labelled documents are learned from, the first by a hash of their doc_id, among those of at most
-    train_chars characters; scoring reads every whole text. threshold: least score of an accepted document."""
+    train_docs, train_chars: at most so many labelled documents, of so many characters together, are learned from, the first by a hash
+    of their doc_id; scoring reads every whole text. threshold: least score of an accepted document."""
 
     buckets: int = 1 << 16
     dim: int = 8
@@ -31,7 +31,7 @@ class QualityParams:
     batch: int = 32
     seed: int = 5
     train_docs: int = 3000
-    train_chars: int = 50_000
+    train_chars: int = 40_000_000
     threshold: float = 0.3
 
 
@@ -107,12 +107,21 @@ def held_out(doc_id: Column, remainder: int = 0) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, p: QualityParams) -> tuple[list[bytes], list[int]]:
-    """At most train_docs labelled texts, bounded by train_chars each; of a doc_id with several labels or texts, the largest."""
-    marks = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality"))
-    few = docs.select("doc_id", F.substring(F.coalesce("text", F.lit("")), 1, p.train_chars + 1).alias("text"), held_out(F.col("doc_id")).alias("out")).filter(~F.col("out") & (F.length("text") <= p.train_chars))
-    # The first labelled doc_ids by hash are a bounded list; their texts are then picked by a broadcast of it.
-    picked = marks.filter(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.train_docs)
-    rows = few.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("quality").alias("quality")).collect()
+    """At most train_docs labelled whole texts of docs, train_chars in all; of a doc_id with several labels or texts, the largest.
+
+    They are the first by a hash of the doc_id among those that have a text in docs; one that doesn't fit into train_chars is passed over.
+    """
+    marks = labels.filter("quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").alias("quality")).filter(~held_out(F.col("doc_id")))
+    own = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(~held_out(F.col("doc_id")))
+    sizes = own.select("doc_id", F.length("text").alias("n")).groupBy("doc_id").agg(F.max("n").alias("n")).join(marks, "doc_id")
+    first = sizes.orderBy(F.xxhash64("doc_id"), "doc_id").limit(p.train_docs).collect()
+    picked, total = [], 0
+    for r in first:
+        if total + r["n"] <= p.train_chars:
+            picked.append((r["doc_id"], r["quality"]))
+            total += r["n"]
+    few = docs.sparkSession.createDataFrame(picked, "doc_id long, quality int")
+    rows = own.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("quality").alias("quality")).collect()
     rows.sort(key=lambda r: r["doc_id"])
     return [r["text"].encode() for r in rows], [r["quality"] for r in rows]
 
@@ -156,7 +165,11 @@ def score_quality(docs: DataFrame, labels: DataFrame, params: QualityParams | No
 
 
 def accepted(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> DataFrame:
-    """The rows of docs that the classifier accepts, with all their columns; texts are scored as they stream past."""
+    """The rows of docs(doc_id, text, ...) that the classifier accepts, with all their columns; texts are scored as they stream past.
+
+    Null, empty and repeated rows are judged like any other, each by its text; without labelled documents every score is 0.5 and all
+    rows stay; an empty table stays empty.
+    """
     p = params or QualityParams()
     model = _model(docs, labels, p)
     at = docs.columns.index("text")
