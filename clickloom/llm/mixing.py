@@ -14,6 +14,8 @@ from ..session import stored
 _TOKEN = r"[^\x20\x09-\x0D]+"
 #: Buckets of exponential keys in a source; only one bucket of a source is sorted.
 BUCKETS = 1024
+#: The least quality weight; the largest is 1.
+LEAST_WEIGHT = 0.2
 #: Rows of the plan (one for each source and bucket) that are broadcast; a longer plan is shuffled.
 BROADCAST_BUCKETS = 200_000
 
@@ -39,7 +41,7 @@ def _source_targets(rows: DataFrame, p: MixParams) -> DataFrame:
 
     A source is full at level x = target per weight if x * weight > max_epochs * size, that is beyond its own level
     max_epochs * size / weight. With the sources sorted by that level, those below the final level are full, so the
-    final level is (total - what the full ones give) / (weights of the others), read off prefix sums.
+    final level is (total - what the full ones give) / (weights of the others); it is found by a few rounds of one aggregate each.
     """
     sizes = rows.groupBy("__source").agg(F.sum("__size").alias("source_size"))
     sizes = stored(sizes, "source-sizes")
@@ -80,7 +82,7 @@ def _final_level(levels: DataFrame, total: float, max_epochs: int) -> float:
 def quality_weight(text: Column, size: Column) -> Column:
     """A document's weight, 0.2 to 1: highest where words are as long as in prose (about six characters with the space)."""
     mean = F.length(text) / F.greatest(size, F.lit(1))
-    return F.greatest(F.lit(0.2), F.lit(1.0) / (F.lit(1.0) + F.abs(F.coalesce(mean, F.lit(0.0)) - 6.5) / 6.5))
+    return F.greatest(F.lit(LEAST_WEIGHT), F.lit(1.0) / (F.lit(1.0) + F.abs(F.coalesce(mean, F.lit(0.0)) - 6.5) / 6.5))
 
 
 def uniform(doc_id: Column, seed: int) -> Column:
@@ -93,8 +95,8 @@ def _rows(docs: DataFrame, p: MixParams, keep: list[str]) -> DataFrame:
     """keep, and what the sampling needs of each row: __source, __size, __key, __id, __tie and the key's bucket."""
     rows = docs.select(*keep, F.col("doc_id").alias("__id"), F.col("source").alias("__source"), n_tokens(F.col("text")).alias("__size"), F.xxhash64("text").alias("__tie"), F.col("text").alias("__text"))
     rows = rows.withColumn("__key", -F.log(uniform(F.col("__id"), p.seed)) / quality_weight(F.col("__text"), F.col("__size"))).drop("__text")
-    # Keys lie in 0..infinity; 1 - exp(-key) spreads them over the buckets.
-    return rows.withColumn("__bucket", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-F.col("__key"))))).cast("int"))
+    # Keys lie in 0..infinity; rows of the least weight are spread evenly over the buckets, and of any weight up to 1 a bucket holds 1 / LEAST_WEIGHT times an even share at most.
+    return rows.withColumn("__bucket", F.least(F.lit(BUCKETS - 1), F.floor(BUCKETS * (1 - F.exp(-LEAST_WEIGHT * F.col("__key"))))).cast("int"))
 
 
 def _bucket_plan(rows: DataFrame, p: MixParams) -> DataFrame:

@@ -1,6 +1,7 @@
 import math
 import random
 
+from clickloom.llm import mixing
 from clickloom.llm.mixing import MixParams, mix_sources, mixed_corpus
 
 
@@ -69,3 +70,11 @@ def test_better_documents_are_taken_first(spark):
     out = mix_sources(spark.createDataFrame(good + poor + other, "doc_id long, text string, source string"), MixParams(weights=(1, 3)))
     taken = {r["doc_id"]: r["taken"] for r in out.collect()}
     assert sum(taken[i] for i in range(300)) > 1.2 * sum(taken[i] for i in range(300, 600))
+
+
+def test_no_bucket_holds_many_rows_of_any_weight(spark):
+    for text in ("x x x x x x x x", "abcdef " * 8):  # of the least weight, and of about the largest
+        docs = spark.range(40_000).selectExpr("id AS doc_id", f"'{text}' AS text", "'a' AS source")
+        rows = mixing._rows(docs, MixParams(), [])
+        most = rows.groupBy("__bucket").count().agg({"count": "max"}).first()[0]
+        assert most < 3 * 5 * 40_000 / mixing.BUCKETS
