@@ -370,7 +370,8 @@ def _band_rows(nodes: DataFrame, p: NearDupParams) -> DataFrame:
 def _node_components(nodes: DataFrame, rows: DataFrame, p: NearDupParams) -> DataFrame:
     every = stored(_band_rows(nodes, p), "bands")
     buckets = every.groupBy("band").agg(F.min("id").alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    bands = stored(join_groups(every, buckets, "band", "n", every.count()), "shared-bands")
+    # One row a band on one side: a hot band's rows are split among tasks by the adaptive skew join.
+    bands = stored(every.join(buckets.hint("merge"), "band"), "shared-bands")
     stars = stored(bands.filter("id != hub").select("hub", "id").distinct(), "stars")
     hubs = stored(stars.groupBy("hub").agg(F.count("*").alias("n")), "star-hubs")
     edges = stored(_verified(stored(_pruned(stars, hubs, nodes, p), "pairs"), rows, p), "links")
