@@ -89,6 +89,11 @@ def last_items(clicks: DataFrame, x: int) -> DataFrame:
     return clicks.withColumn("__r", F.row_number().over(back)).filter(F.col("__r") <= x).drop("__r")
 
 
+def first_rows(clicks: DataFrame, n: int, order: list[str]) -> DataFrame:
+    """The first n rows in that order: each task keeps its own first n."""
+    return clicks.orderBy(*order).limit(n)
+
+
 def days_before(end: str, days: int) -> list[str]:
     """The end date and the days before it, newest first, as yyyy-mm-dd."""
     import datetime

@@ -51,6 +51,33 @@ class SessionKnn:
         return top_items(rules.passes_rules(scores, current, self.flags), self.params.n)
 
 
+class EvolvingKnn:
+    """Evolving sessions held as a table over a fitted model: clicks are added, and sessions end, in batches."""
+
+    def __init__(self, model: SessionKnn, evolving: DataFrame) -> None:
+        self.model, self.evolving = model, evolving
+
+    def add(self, clicks: DataFrame) -> EvolvingKnn:
+        """Append clicks(eid, item, pos); their places follow those of their session."""
+        ends = self.evolving.groupBy("eid").agg(F.max("pos").alias("__end"))
+        placed = clicks.join(ends, "eid", "left").select("eid", "item", (F.col("pos") + F.coalesce("__end", F.lit(0))).alias("pos"))
+        return EvolvingKnn(self.model, stored(self.evolving.select("eid", "item", "pos").unionByName(placed), "evolving"))
+
+    def clear(self, ended: DataFrame) -> EvolvingKnn:
+        """Delete the sessions in ended(eid)."""
+        return EvolvingKnn(self.model, stored(self.evolving.join(ended, "eid", "left_anti"), "evolving"))
+
+    def ages(self) -> DataFrame:
+        """(eid, item, pos, age): age is 0 for a session's newest click."""
+        newest = self.evolving.groupBy("eid").agg(F.max("pos").alias("__end"))
+        return self.evolving.join(newest, "eid").select("eid", "item", "pos", (F.col("__end") - F.col("pos")).alias("age"))
+
+    def predict_next(self, skip: DataFrame | None = None) -> DataFrame:
+        """(eid, rank, item, score) of all sessions but those in skip(eid)."""
+        asked = self.evolving if skip is None else self.evolving.join(skip, "eid", "left_anti")
+        return self.model.predict(asked)
+
+
 def build_indexes(events: DataFrame, catalog: DataFrame | None, m: int = 500, gap: int = 1200) -> tuple[DataFrame, DataFrame]:
     """(item index, session index) of raw events: relevant, buyers', sessionized, deduplicated, supported, not overlong clicks."""
     clicks = clean.sessionize(clean.buyers_clicks(clean.as_clicks(clean.relevant_events(events))), gap)

@@ -108,26 +108,26 @@ def session_index(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _add_idf(mode: str) -> None:
-    @query(f"item_idf_{mode}", with_tables("clicks history", f"SELECT ItemId, round(idf, 6) AS idf FROM ({idf_select(mode)})"))
+    @query(f"item_idf_{mode}", with_tables("clicks", f"SELECT ItemId, round(idf, 6) AS idf FROM ({idf_select(mode, 'clicks')})"))
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return index.item_idf(tables.history(spark, sf), mode).withColumn("idf", six("idf"))
+        return index.item_idf(tables.clicks(spark, sf), mode).withColumn("idf", six("idf"))
 
 
 for _mode in ("pairs", "sessions", "rows", "interactions"):
     _add_idf(_mode)
 
 
-@query("item_posting_topm", with_tables("clicks history", f"SELECT ItemId, SessionId, Time, rank::INT AS rank FROM ({postings_select(10)})"))
+@query("item_posting_topm", with_tables("clicks", f"SELECT ItemId, SessionId, Time, rank::INT AS rank FROM ({postings_select(10, 'clicks')})"))
 def item_posting_topm(spark: SparkSession, sf: str) -> DataFrame:
-    return index.postings(tables.history(spark, sf), 10)
+    return index.postings(tables.clicks(spark, sf), 10)
 
 
 @query(
     "item_index",
-    with_tables("clicks history", f"SELECT ItemId, string_agg(SessionId::VARCHAR, ',' ORDER BY rank) AS sessions, round(max(idf), 6) AS idf FROM ({postings_select(10)}) JOIN ({idf_select('sessions')}) USING (ItemId) GROUP BY ItemId"),
+    with_tables("clicks", f"SELECT ItemId, string_agg(SessionId::VARCHAR, ',' ORDER BY rank) AS sessions, round(max(idf), 6) AS idf FROM ({postings_select(10, 'clicks')}) JOIN ({idf_select('sessions', 'clicks')}) USING (ItemId) GROUP BY ItemId"),
 )
 def item_index(spark: SparkSession, sf: str) -> DataFrame:
-    out = index.item_index(tables.history(spark, sf), 10)
+    out = index.item_index(tables.clicks(spark, sf), 10)
     return out.select("ItemId", F.array_join(F.col("session_indices_time_ordered").cast("array<string>"), ",").alias("sessions"), six("idf").alias("idf"))
 
 
@@ -149,35 +149,25 @@ def dense_session_ids(spark: SparkSession, sf: str) -> DataFrame:
     return clean.dense_ids(tables.clicks(spark, sf), "SessionId", "SessionIndex")
 
 
-@query("catalog_flags", with_tables("clicks history flags", "SELECT h.ItemId, coalesce(IsAdult, false) AS IsAdult, coalesce(ForSale, false) AS ForSale FROM (SELECT DISTINCT ItemId FROM history) h LEFT JOIN flags f USING (ItemId)"))
+@query("catalog_flags", with_tables("clicks all_flags", "SELECT h.ItemId, coalesce(IsAdult, false) AS IsAdult, coalesce(ForSale, false) AS ForSale FROM (SELECT DISTINCT ItemId FROM clicks) h LEFT JOIN all_flags f USING (ItemId)"))
 def catalog_flags(spark: SparkSession, sf: str) -> DataFrame:
-    items = tables.history(spark, sf).select("ItemId").distinct()
+    items = tables.clicks(spark, sf).select("ItemId").distinct()
     return index.flagged_index(items, index.catalog_flags(tables.catalog(spark, sf), items))
 
 
 @query(
     "seed_subgraph",
     with_tables(
-        "clicks history",
-        f"""posts AS ({postings_select(10)}), sess AS (SELECT DISTINCT SessionId FROM posts WHERE ItemId = 100)
-        SELECT ItemId, string_agg(SessionId::VARCHAR, ',' ORDER BY rank) AS sessions, round(max(idf), 6) AS idf FROM posts SEMI JOIN sess USING (SessionId) JOIN ({idf_select("sessions")}) USING (ItemId) GROUP BY ItemId""",
+        "clicks",
+        f"""posts AS ({postings_select(10, 'clicks')}), sess AS (SELECT DISTINCT SessionId FROM posts WHERE ItemId = 100)
+        SELECT ItemId, string_agg(SessionId::VARCHAR, ',' ORDER BY rank) AS sessions, round(max(idf), 6) AS idf FROM posts SEMI JOIN sess USING (SessionId) JOIN ({idf_select("sessions", "clicks")}) USING (ItemId) GROUP BY ItemId""",
     ),
 )
 def seed_subgraph(spark: SparkSession, sf: str) -> DataFrame:
-    items, _ = index.seed_subgraph(index.item_index(tables.history(spark, sf), 10), 100)
+    items, _ = index.seed_subgraph(index.item_index(tables.clicks(spark, sf), 10), 100)
     return items.select("ItemId", F.array_join(F.col("session_indices_time_ordered").cast("array<string>"), ",").alias("sessions"), six("idf").alias("idf"))
 
 
-@query("full_index_job")
-def full_index_job(spark: SparkSession, sf: str) -> DataFrame:
-    """The index job end to end over raw events, written and read back; its parts have SQL of their own."""
-    base = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
-    items, sessions = models.build_indexes(tables.raw_events(spark, sf), tables.catalog(spark, sf), gap=_CLEAN_GAP)
-    sinks.write_index(items, sessions, base, files=2)
-    items, sessions = readers.read_index(spark, base)
-    return items.select(F.col("ItemId").alias("id"), F.size("session_indices_time_ordered").alias("n"), F.lit("item").alias("kind")).union(sessions.select(F.col("SessionIndex").alias("id"), F.size("item_ids_asc").alias("n"), F.lit("session").alias("kind")))
-
-
 # Cleaning.
 
 
@@ -226,6 +216,24 @@ def min_support_cascade(spark: SparkSession, sf: str) -> DataFrame:
     return clean.support_cascade(most_recent_session_item(spark, sf))
 
 
+@query(
+    "full_index_job",
+    with_tables(
+        "raw event_clicks",
+        f"""{_LATEST}, {_CASCADE}, lens AS (SELECT SessionId, count(*) AS n FROM c3 GROUP BY SessionId), kept AS (SELECT * FROM c3 WHERE SessionId IN (SELECT SessionId FROM lens WHERE n <= (SELECT quantile_cont(n, 0.995) FROM lens)))
+        SELECT ItemId AS id, least(count(*), 500)::INT AS n, 'item' AS kind FROM kept GROUP BY ItemId
+        UNION ALL SELECT row_number() OVER (ORDER BY SessionId) - 1 AS id, count(*)::INT AS n, 'session' AS kind FROM kept GROUP BY SessionId""",
+    ),
+)
+def full_index_job(spark: SparkSession, sf: str) -> DataFrame:
+    """The index job end to end over raw events, written and read back: each list by its length."""
+    base = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
+    items, sessions = models.build_indexes(tables.raw_events(spark, sf), tables.catalog(spark, sf), gap=_CLEAN_GAP)
+    sinks.write_index(items, sessions, base, files=2)
+    items, sessions = readers.read_index(spark, base)
+    return items.select(F.col("ItemId").alias("id"), F.size("session_indices_time_ordered").alias("n"), F.lit("item").alias("kind")).union(sessions.select(F.col("SessionIndex").alias("id"), F.size("item_ids_asc").alias("n"), F.lit("session").alias("kind")))
+
+
 _LENGTHS = "lens AS (SELECT SessionId, count(*) AS n FROM clicks GROUP BY SessionId)"
 
 
@@ -264,6 +272,12 @@ def sanitize_training(spark: SparkSession, sf: str) -> DataFrame:
     return clean.sanitize_training(tables.clicks(spark, sf), 10, 6)
 
 
+@query("first_clicks", with_tables("clicks", "SELECT SessionId, ItemId, Time, pos FROM clicks ORDER BY Time, SessionId, pos LIMIT 1000"))
+def first_clicks(spark: SparkSession, sf: str) -> DataFrame:
+    """The limit is the feature: a test run over the first rows of a log."""
+    return clean.first_rows(tables.clicks(spark, sf), 1000, ["Time", "SessionId", "pos"])
+
+
 @query("truncate_sessions", with_tables("clicks", "SELECT SessionId, ItemId, Time FROM clicks QUALIFY row_number() OVER (PARTITION BY SessionId ORDER BY pos DESC, ItemId DESC) <= 2"))
 def truncate_sessions(spark: SparkSession, sf: str) -> DataFrame:
     return clean.last_items(tables.clicks(spark, sf), 2).select("SessionId", "ItemId", "Time")
@@ -274,11 +288,12 @@ def truncate_sessions(spark: SparkSession, sf: str) -> DataFrame:
     with_tables(
         "clicks",
         """g AS (SELECT SessionId, ItemId, pos, lead(Time) OVER (PARTITION BY SessionId ORDER BY Time, pos, ItemId) - Time AS gap FROM clicks)
-        SELECT SessionId, ItemId, pos, round(CASE WHEN gap IS NULL OR max(gap) OVER (PARTITION BY SessionId) = 0 THEN 1 ELSE gap::DOUBLE / max(gap) OVER (PARTITION BY SessionId) END, 6) AS weight FROM g""",
+        SELECT SessionId, ItemId, pos, CASE WHEN gap IS NULL OR max(gap) OVER (PARTITION BY SessionId) = 0 THEN 1 ELSE gap::DOUBLE / max(gap) OVER (PARTITION BY SessionId) END AS weight FROM g""",
     ),
 )
 def dwell_weights(spark: SparkSession, sf: str) -> DataFrame:
-    return clean.dwell_weights(tables.clicks(spark, sf)).select("SessionId", "ItemId", "pos", six("weight").alias("weight"))
+    """One division of two whole numbers, so that the doubles are equal without rounding."""
+    return clean.dwell_weights(tables.clicks(spark, sf)).select("SessionId", "ItemId", "pos", "weight")
 
 
 @query("hash_partition", with_tables("clicks", "SELECT count(*) AS n, count(DISTINCT SessionId) AS sessions, true AS whole FROM clicks"))
@@ -296,7 +311,7 @@ def evolving_sessions(spark: SparkSession, sf: str) -> DataFrame:
 # Similarities and decays.
 
 _SETS_SQL = """sizes AS (SELECT SessionId, count(DISTINCT ItemId)::DOUBLE AS n FROM clicks GROUP BY SessionId), d AS (SELECT DISTINCT SessionId, ItemId FROM clicks),
-    common AS (SELECT e.SessionId AS eid, h.SessionId AS sid, count(*)::DOUBLE AS c FROM d e JOIN d h USING (ItemId) WHERE e.SessionId % 10 = 0 AND h.SessionId % 10 <> 0 GROUP BY ALL),
+    common AS (SELECT e.SessionId AS eid, h.SessionId AS sid, count(*)::DOUBLE AS c FROM d e JOIN d h USING (ItemId) WHERE e.SessionId <> h.SessionId GROUP BY ALL),
     p AS (SELECT eid, sid, c, a.n AS l, b.n AS r FROM common JOIN sizes a ON a.SessionId = eid JOIN sizes b ON b.SessionId = sid)"""
 _SIM_SQL = {"jaccard": "c / (l + r - c)", "tanimoto": "c / (l + r - c)", "cosine": "c / (sqrt(l) * sqrt(r))", "cosine_legacy": "c / sqrt(l) * sqrt(r)", "binary": "2 * c / (2 * c + l + r)"}
 
@@ -306,8 +321,8 @@ def _add_similarity(kind: str) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         sets = tables.clicks(spark, sf).select("SessionId", "ItemId").distinct()
         sizes = sets.groupBy("SessionId").agg(F.count("*").alias("n"))
-        left = sets.filter("SessionId % 10 = 0").withColumnRenamed("SessionId", "eid")
-        common = left.join(sets.filter("SessionId % 10 <> 0").withColumnRenamed("SessionId", "sid"), "ItemId").groupBy("eid", "sid").agg(F.count("*").alias("c"))
+        left = sets.withColumnRenamed("SessionId", "eid")
+        common = left.join(sets.withColumnRenamed("SessionId", "sid"), "ItemId").filter("eid != sid").groupBy("eid", "sid").agg(F.count("*").alias("c"))
         both = common.join(sizes.select(F.col("SessionId").alias("eid"), F.col("n").alias("l")), "eid").join(sizes.select(F.col("SessionId").alias("sid"), F.col("n").alias("r")), "sid")
         scored = both.select("eid", weights.similarity(kind, F.col("c"), F.col("l"), F.col("r")).alias("s"))
         return scored.groupBy("eid").agg(F.count("*").alias("n"), F.round(F.sum("s"), 4).alias("total"), six(F.max("s")).alias("most"))
@@ -421,9 +436,9 @@ def mrr_by_popularity(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.by_popularity(_predictions(spark, sf), tables.history(spark, sf), 20).select("pop_bin", six("mrr").alias("mrr"), six("hitrate").alias("hitrate"), "n")
 
 
-@query("item_popularity", with_tables("clicks history", "SELECT ItemId, round(count(*)::DOUBLE / max(count(*)) OVER (), 6) AS popularity FROM history GROUP BY ItemId"))
+@query("item_popularity", with_tables("clicks", "SELECT ItemId, round(count(*)::DOUBLE / max(count(*)) OVER (), 6) AS popularity FROM clicks GROUP BY ItemId"))
 def item_popularity(spark: SparkSession, sf: str) -> DataFrame:
-    return metrics.popularity_table(tables.history(spark, sf)).withColumn("popularity", six("popularity"))
+    return metrics.popularity_table(tables.clicks(spark, sf)).withColumn("popularity", six("popularity"))
 
 
 @query("predictions_roundtrip", with_tables("clicks history evolving", f"{_PRED_SQL} SELECT array_to_string(recs, ',') AS recs, array_to_string(next_items, ',') AS next_items FROM pred"))
@@ -438,7 +453,7 @@ def json_responses(spark: SparkSession, sf: str) -> DataFrame:
     return sinks.json_responses(knn.recommend(tables.evolving(spark, sf), tables.history(spark, sf), _bound("serving")))
 
 
-@query("param_grid", "SELECT m::BIGINT AS m, k::BIGINT AS k, x::BIGINT AS max_items FROM (SELECT unnest([50, 100, 250, 500, 750, 1000]) AS m), (SELECT unnest([50, 100, 500, 1000, 1500]) AS k), (SELECT unnest([1, 2, 3, 4, 5, 7, 10]) AS x) WHERE k <= m")
+@query("param_grid", "SELECT m::BIGINT AS m, k::BIGINT AS k, x::BIGINT AS max_items FROM (SELECT unnest([100, 250, 500, 750, 1000, 2500]) AS m), (SELECT unnest([50, 100, 500, 1000, 1500]) AS k), (SELECT unnest([1, 2, 3, 5, 7, 15, 100]) AS x) WHERE k <= m")
 def param_grid(spark: SparkSession, sf: str) -> DataFrame:
     return tuning.grid(spark, tuning.SEARCH_GRID).filter("k <= m")
 
@@ -488,12 +503,21 @@ def _text_items(df: DataFrame) -> DataFrame:
     return df.select("session_key", "request_id", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 
-@query("session_state_batch")
+#: A session's items at a click are the last ones since it was idle, without clicks that repeat the one before.
+_STATE_SQL = f"""WITH r AS (SELECT event_id AS request_id, md5(user_id::VARCHAR) AS session_key, (props->>'$.k')::BIGINT AS item_id, floor(epoch(ts))::BIGINT AS time, user_id % 7 <> 0 AS user_consent FROM events),
+    lagged AS (SELECT *, coalesce(time - lag(time) OVER w > {_CLEAN_GAP}, true) AS opens, lag(item_id) OVER w IS DISTINCT FROM item_id AS other FROM r WHERE user_consent WINDOW w AS (PARTITION BY session_key ORDER BY time, request_id)),
+    parts AS (SELECT *, sum(opens::INT) OVER (PARTITION BY session_key ORDER BY time, request_id ROWS UNBOUNDED PRECEDING) AS part FROM lagged),
+    lists AS (SELECT session_key, request_id, list(item_id) FILTER (WHERE opens OR other) OVER (PARTITION BY session_key, part ORDER BY time, request_id ROWS UNBOUNDED PRECEDING) AS items FROM parts)
+    SELECT session_key, request_id, array_to_string(items[-4:], ',') AS items FROM lists
+    UNION ALL SELECT session_key, request_id, item_id::VARCHAR AS items FROM r WHERE NOT user_consent"""
+
+
+@query("session_state_batch", _STATE_SQL)
 def session_state_batch(spark: SparkSession, sf: str) -> DataFrame:
     return _text_items(state.evolve_batch(_requests(spark, sf), idle=_CLEAN_GAP, most=4))
 
 
-@query("session_state_stream")
+@query("session_state_stream", _STATE_SQL)
 def session_state_stream(spark: SparkSession, sf: str) -> DataFrame:
     """The requests as a file stream through the stateful operator; the result is what the stream wrote."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
@@ -517,14 +541,14 @@ def incremental_stream(spark: SparkSession, sf: str) -> DataFrame:
     return view.current().withColumn("score", six("score"))
 
 
-@query("session_runs", with_tables("clicks", "p AS (SELECT *, row_number() OVER (ORDER BY Time, SessionId, pos) AS place FROM clicks WHERE SessionId < 2000), g AS (SELECT *, place - row_number() OVER (PARTITION BY SessionId ORDER BY place) AS grp FROM p) SELECT SessionId, min(place)::INT AS run, string_agg(ItemId::VARCHAR, ',' ORDER BY place) AS items FROM g GROUP BY SessionId, grp"))
+@query("session_runs", with_tables("clicks", "p AS (SELECT *, row_number() OVER (ORDER BY Time, SessionId, pos) AS place FROM clicks), g AS (SELECT *, place - row_number() OVER (PARTITION BY SessionId ORDER BY place) AS grp FROM p) SELECT SessionId, min(place)::BIGINT AS run, string_agg(ItemId::VARCHAR, ',' ORDER BY place) AS items FROM g GROUP BY SessionId, grp"))
 def session_runs(spark: SparkSession, sf: str) -> DataFrame:
     rows = tables.clicks(spark, sf).withColumn("key", F.struct("Time", "SessionId", "pos"))
     return readers.runs_of_sessions(rows, "key").select("SessionId", "run", F.array_join(F.col("items").cast("array<string>"), ",").alias("items"))
 
 
-@query("rules_on_flags", with_tables("clicks history flags", "SELECT ForSale AS for_sale, IsAdult AS adult, count(*) AS n FROM flags GROUP BY ALL"))
+@query("rules_on_flags", with_tables("clicks all_flags", "SELECT ForSale AS for_sale, IsAdult AS adult, count(*) AS n FROM all_flags GROUP BY ALL"))
 def rules_on_flags(spark: SparkSession, sf: str) -> DataFrame:
-    flags = index.catalog_flags(tables.catalog(spark, sf), tables.history(spark, sf))
+    flags = index.catalog_flags(tables.catalog(spark, sf), tables.clicks(spark, sf))
     return flags.groupBy(F.col("ForSale").alias("for_sale"), F.col("IsAdult").alias("adult")).agg(F.count("*").alias("n"))
 

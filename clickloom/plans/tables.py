@@ -56,6 +56,9 @@ SQL = {
         FROM part WHERE p_partkey IN (SELECT ItemId FROM history) AND ((p_size > 40 AND p_size % 7 <> 0) OR p_brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4'))""",
 }
 
+#: The flags of all items that were clicked, and not of the history's alone.
+SQL["all_flags"] = SQL["flags"].replace("FROM history", "FROM clicks")
+
 
 def with_tables(names: str, body: str) -> str:
     """A SELECT, or CTEs and one, after the named CTEs."""

@@ -16,7 +16,7 @@ from ..operators.knn import KnnParams
 from . import replay
 
 #: A fixed value: the grid of the published search.
-SEARCH_GRID = {"m": [50, 100, 250, 500, 750, 1000], "k": [50, 100, 500, 1000, 1500], "max_items": [1, 2, 3, 4, 5, 7, 10]}
+SEARCH_GRID = {"m": [100, 250, 500, 750, 1000, 2500], "k": [50, 100, 500, 1000, 1500], "max_items": [1, 2, 3, 5, 7, 15, 100]}
 
 
 def grid(spark: SparkSession, values: dict[str, list[int]]) -> DataFrame:

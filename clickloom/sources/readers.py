@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.clean import days_before
+from ..operators.clean import days_before, first_rows
 from ..session import stored
 
 CLICK_SCHEMA = "SessionId long, ItemId long, Time double"
@@ -25,6 +25,20 @@ def read_clicks(spark: SparkSession, path: str, strict: bool = False, half_even:
     return rows.filter("SessionId IS NOT NULL AND ItemId IS NOT NULL AND Time IS NOT NULL").withColumn("Time", rounded.cast("long"))
 
 
+def first_events(spark: SparkSession, path: str, most: int | None = None) -> DataFrame:
+    """Clicks of a file whose columns are found by name, strictly read; at most so many, the first by time."""
+    rows = spark.read.option("sep", "\t").option("header", True).option("mode", "FAILFAST").option("inferSchema", False).csv(path)
+    typed = rows.select(*[F.col(c).cast("long").alias(c) for c in ("SessionId", "ItemId", "Time")])
+    broken = F.assert_true(F.col("SessionId").isNotNull() & F.col("ItemId").isNotNull() & F.col("Time").isNotNull(), "a click lacks a number")
+    checked = typed.filter(broken.isNull())
+    return first_rows(checked, most, ["Time", "SessionId", "ItemId"]) if most is not None else checked
+
+
+def count_rows(spark: SparkSession, path: str, format: str = "parquet") -> int:
+    """Rows of all files below the path, from the files' own counts where they have some."""
+    return spark.read.format(format).load(path).count()
+
+
 def read_days(spark: SparkSession, base: str, end_date: str, days: int, format: str = "parquet") -> DataFrame:
     """Events of the end date and so many days before, one folder a day; missing days are skipped."""
     return spark.read.format(format).option("ignoreMissingFiles", True).load([f"{base}/{d}" for d in days_before(end_date, days)])

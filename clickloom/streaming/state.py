@@ -29,11 +29,11 @@ def step(items: list[int], last_time: int | None, item: int, time: int, idle: in
 class EvolvingSessions(StatefulProcessor):
     """State of one session: its items and the time of its last click; expiry is judged by the clicks' own times."""
 
-    def __init__(self, idle: int = 1200, most: int = 2) -> None:
-        self.idle, self.most = idle, most
+    def __init__(self, idle: int = 1200, most: int = 2, ttl_ms: int | None = None) -> None:
+        self.idle, self.most, self.ttl_ms = idle, most, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("session", "items array<bigint>, time bigint")
+        self.state = handle.getValueState("session", "items array<bigint>, time bigint", self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         held = self.state.get() if self.state.exists() else None
@@ -50,13 +50,14 @@ class EvolvingSessions(StatefulProcessor):
         pass
 
 
-def evolve(requests: DataFrame, idle: int = 1200, most: int = 2) -> DataFrame:
+def evolve(requests: DataFrame, idle: int = 1200, most: int = 2, ttl_ms: int | None = None) -> DataFrame:
     """(session_key, request_id, items) for streaming requests(request_id, session_id, item_id, time, user_consent).
 
-    Without consent a request is a session of its one item and leaves no state.
+    Without consent a request is a session of its one item and leaves no state. ttl_ms: the store drops a session's state so long after
+    its last click, by the cluster's clock; such a stream runs on, since its time never ends.
     """
     keyed = requests.withColumn("session_key", session_key(F.col("session_id")))
-    own = keyed.filter("user_consent").groupBy("session_key").transformWithStateInPandas(EvolvingSessions(idle, most), OUTPUT, "append", "None")
+    own = keyed.filter("user_consent").groupBy("session_key").transformWithStateInPandas(EvolvingSessions(idle, most, ttl_ms), OUTPUT, "append", "ProcessingTime" if ttl_ms else "None")
     return own.union(stateless(keyed))
 
 

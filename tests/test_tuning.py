@@ -26,5 +26,5 @@ def test_a_registered_search_covers_the_published_grid(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(tuning, "search", lambda e, h, combos, *a, f=tuning.search: asked.append(combos) or f(e, h, combos, *a))
     row = entry.queries()["hyperparam_search"](spark, "/root/testdata/sf0.001").first()
-    assert asked[0].filter("k <= m").count() == 105
+    assert asked[0].filter("k <= m").count() == 133
     assert all(row[c] in tuning.SEARCH_GRID[c] for c in ("m", "k", "max_items")) and row["mrr"] > 0
