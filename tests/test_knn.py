@@ -67,3 +67,18 @@ def test_business_rules(spark):
     assert {r["item"] for r in model.predict(evolving(spark, [2]), True).collect()} == {1, 4}
     assert {r["item"] for r in model.predict(evolving(spark, [5]), True).collect()} == {1, 4}
     assert model.extend(history(spark, {9: [1, 4]})).find_neighbours(evolving(spark, [1])).count() == 2
+
+
+def test_sessions_held_as_a_table_grow_and_end(spark):
+    from clickloom.plans.models import EvolvingKnn, SessionKnn
+
+    history = spark.createDataFrame([(s, i, s) for s in range(1, 6) for i in (s, s + 1, s + 2)], "SessionId long, ItemId long, Time long")
+    first = spark.createDataFrame([("a", 2, 1), ("b", 3, 1)], "eid string, item long, pos long")
+    later = spark.createDataFrame([("a", 3, 1), ("c", 4, 1)], "eid string, item long, pos long")
+    held = EvolvingKnn(SessionKnn("serving").fit(history), first).add(later)
+    assert sorted(map(tuple, held.ages().collect())) == [("a", 2, 1, 1), ("a", 3, 2, 0), ("b", 3, 1, 0), ("c", 4, 1, 0)]
+    whole = SessionKnn("serving").fit(history).predict(held.evolving)
+    assert sorted(map(tuple, held.predict_next().collect())) == sorted(map(tuple, whole.collect()))
+    gone = spark.createDataFrame([("b",)], "eid string")
+    assert {r["eid"] for r in held.predict_next(skip=gone).collect()} == {"a", "c"}
+    assert {r["eid"] for r in held.clear(gone).evolving.collect()} == {"a", "c"}

@@ -63,3 +63,13 @@ def test_grids_and_index_days(spark, tmp_path):
     assert items.count() == 4 and {len(r["item_ids_asc"]) for r in sessions.collect()} == {4}
     sinks.write_index(items, sessions, str(tmp_path / "index"), files=2)
     assert [x.count() for x in readers.read_index(spark, str(tmp_path / "index"))] == [4, 8]
+
+
+def test_events_by_column_name_with_a_limit_and_counts(spark, tmp_path):
+    path = str(tmp_path / "events.tsv")
+    with open(path, "w") as f:
+        f.write("Time\tItemId\tSessionId\textra\n30\t1\t7\tx\n10\t2\t8\ty\n20\t3\t7\tz\n")
+    assert sorted(map(tuple, readers.first_events(spark, path).collect())) == [(7, 1, 30), (7, 3, 20), (8, 2, 10)]
+    assert sorted(map(tuple, readers.first_events(spark, path, 2).collect())) == [(7, 3, 20), (8, 2, 10)]
+    spark.range(17).write.parquet(str(tmp_path / "many"))
+    assert readers.count_rows(spark, str(tmp_path / "many")) == 17
