@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.weights import DECAYS, POSITION_WEIGHTS
 from .index import item_idf, postings
+from .skew import split_join
 
 
 @dataclass(frozen=True)
@@ -84,10 +85,15 @@ def candidates(evolving: DataFrame, history: DataFrame, p: KnnParams = CANONICAL
     A session among the m most recent ones of all is among the m most recent ones of each of its items, so that lists of m sessions
     an item are enough, which bounds the join by m rows a click.
     """
-    lists = postings(history, p.m) if p.m else history.select("SessionId", "ItemId").distinct().join(history.groupBy("SessionId").agg(F.max("Time").alias("Time")), "SessionId")
-    lists = lists.select(F.col("ItemId").alias("item"), F.col("SessionId").alias("sid"), F.col("Time").alias("time"))
+    weights = evolving_weights(evolving, p)
     # One shuffle by eid serves the sums below and the windows after them; a session's rows are bounded by m for each of its items.
-    shared = evolving_weights(evolving, p).join(lists, "item").repartition("eid")
+    if p.m:
+        # An item's list is one row of at most m sessions; it is unfolded after the shuffle, so that a hot item's rows are spread by eid.
+        lists = postings(history, p.m).groupBy(F.col("ItemId").alias("item")).agg(F.collect_list(F.struct(F.col("SessionId").alias("sid"), F.col("Time").alias("time"))).alias("list"))
+        shared = split_join(weights, lists, "item", "eid").repartition("eid").select("eid", "w", "step", "by", F.inline("list"))
+    else:
+        lists = history.select(F.col("SessionId").alias("sid"), F.col("ItemId").alias("item")).distinct().join(history.groupBy(F.col("SessionId").alias("sid")).agg(F.max("Time").alias("time")), "sid")
+        shared = split_join(weights, lists, "item", "eid").repartition("eid")
     pairs = shared.groupBy("eid", "sid").agg((F.sum("w") / F.max("by")).alias("sim"), F.min("step").alias("step"), F.max("time").alias("time"))
     if p.m is None:
         return pairs

@@ -82,3 +82,17 @@ def test_sessions_held_as_a_table_grow_and_end(spark):
     gone = spark.createDataFrame([("b",)], "eid string")
     assert {r["eid"] for r in held.predict_next(skip=gone).collect()} == {"a", "c"}
     assert {r["eid"] for r in held.clear(gone).evolving.collect()} == {"a", "c"}
+
+
+def test_a_hot_item_is_dealt_to_parts_and_loses_no_pair(spark):
+    from clickloom.operators.skew import split_join
+
+    # Item 7 holds a third of the rows and is hot; null items join nothing.
+    many = spark.range(6000).selectExpr("id AS eid", "IF(id % 3 = 0, 7, IF(id % 600 = 1, NULL, 100 + id)) AS item")
+    lists = spark.createDataFrame([(7, "a"), (7, "b"), (101, "c"), (100 + 2, "d"), (None, "e")], "item long, list string")
+    rows, named = many.collect(), lists.collect()
+    got = sorted(tuple(r) for r in split_join(many, lists, "item", "eid").select("eid", "item", "list").collect())
+    want = sorted((r["eid"], r["item"], x["list"]) for r in rows for x in named if r["item"] is not None and r["item"] == x["item"])
+    assert got == want and len(got) == 2 * 2000 + 1
+    assert split_join(many.limit(0), lists, "item", "eid").count() == 0
+    assert split_join(many, lists.limit(0), "item", "eid").count() == 0
