@@ -29,7 +29,7 @@ _FNV = np.uint64(0x9E3779B97F4A7C15)
 class LmParams:
     """classes, members: leaves are classes * members, half of them single words. frequent: words (of at most word_bytes) whose ids all
     tasks know; counts of all others are joined. contexts: hashed rows of one word of context. pairs: of two words. inner: of word and class.
-    rate: of the updates. batch: tokens in one. block: feature rows that are averaged together."""
+    rate: of the updates. batch: tokens in one. block: feature rows that are averaged together. fan_in: tasks whose blocks are merged first."""
 
     classes: int = 32
     members: int = 32
@@ -41,6 +41,7 @@ class LmParams:
     rate: float = 0.25
     batch: int = 2048
     block: int = 256
+    fan_in: int = 64
     flush: int = 400_000
 
     @property
@@ -271,8 +272,11 @@ def train(docs: DataFrame, v: Vocabulary, p: LmParams) -> Weights:
                     weighted = table[b : b + p.block][on] * count[on, None]
                     yield pa.RecordBatch.from_arrays([pa.array([name], pa.int32()), pa.array([b], pa.int32()), pa.array([on.astype(np.int32).tobytes()], pa.binary()), pa.array([count[on].astype(np.float64).tobytes()], pa.binary()), pa.array([weighted.astype(np.float32).tobytes()], pa.binary())], _BLOCK)
 
-    parts = map_batches(docs.select("text"), run, "t int, b int, rows binary, n binary, w binary")
-    merged = map_batches(parts.repartition("t", "b").sortWithinPartitions("t", "b"), _merger(p), "t int, b int, rows binary, n binary, w binary")
+    parts = map_batches(docs.select("text"), run, _PART)
+    # Blocks are merged in two steps, so that no merger reads more than the blocks of fan_in tasks and then one for each such group.
+    near = parts.withColumn("g", F.floor(F.spark_partition_id() / p.fan_in).cast("int"))
+    few = map_batches(near.repartition("t", "b", "g").sortWithinPartitions("t", "b"), _merger(p), _PART)
+    merged = map_batches(few.repartition("t", "b").sortWithinPartitions("t", "b"), _merger(p), _PART)
     out = Weights(start.outer.copy(), start.inner.copy(), start.class_bias, start.member_bias)
     for r in merged.toLocalIterator():
         rows, n = np.frombuffer(r["rows"], np.int32), np.frombuffer(r["n"], np.float64)
@@ -281,7 +285,8 @@ def train(docs: DataFrame, v: Vocabulary, p: LmParams) -> Weights:
     return out
 
 
-_BLOCK = ["t", "b", "rows", "n", "w"]
+_PART = "t int, b int, rows binary, n binary, w binary"
+_BLOCK = [x.split()[0] for x in _PART.split(", ")]
 
 
 def _merger(p: LmParams):

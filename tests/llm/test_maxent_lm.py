@@ -59,3 +59,15 @@ def test_nulls_empty_texts_repeats_and_empty_tables(spark):
     assert got == want
     assert lm.score_documents(docs.limit(0)).count() == 0
     assert lm.score_documents(docs.filter("doc_id = 2")).count() == 1
+
+
+def test_two_merging_steps_give_the_weights_of_one(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(6, "doc_id")
+    weights = []
+    for fan_in in (1, 2, 100):
+        p = lm.LmParams(frequent=2000, fan_in=fan_in)
+        weights.append(lm.train(docs, lm.vocabulary(lm.token_counts(docs, p), p), p))
+    for w in weights[1:]:
+        np.testing.assert_allclose(w.outer, weights[0].outer, atol=1e-5)
+        np.testing.assert_allclose(w.inner, weights[0].inner, atol=1e-5)
+    assert np.abs(weights[0].outer).sum() > 0
