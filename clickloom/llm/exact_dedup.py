@@ -123,7 +123,10 @@ def dedup_exact(docs: DataFrame, keep: str = "smallest", generations: int = 4) -
 
 
 def keep_one_of_each(docs: DataFrame, keep: str = "smallest") -> DataFrame:
-    """The rows of docs that stay, with all their columns; rows with equal doc_id and text count as copies, too."""
+    """The rows of docs(doc_id, text, ...) that stay, with all their columns; rows with equal doc_id and text count as copies, too.
+
+    Null texts count as empty, and one empty text stays; a null doc_id stays only where a group has no other; an empty table stays empty.
+    """
     names = [f"`{c}`" for c in docs.columns]
     judged = dedup_exact(docs, keep)
     gone = stored(judged.filter(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.unhex("text_sha256").alias("__digest")).distinct(), "gone")

@@ -22,43 +22,53 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and novel spans of every whole text of documents; null texts count as empty and have none."""
     return secret_scan.scan_secrets(_read(spark, sf_dir, "documents"))
 
 
 def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and model log10 probabilities of every whole text of documents, learned from the rows that aren't held out; a null text is one end token."""
     return maxent_lm.score_documents(_read(spark, sf_dir, "documents"))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines deleted from every document as later copies of runs of 50 words or more, with a digest of the text that stays; a null text is one blank line."""
     out = line_dedup.dedup_lines(_read(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", "removed", F.length("clean_text").cast("long").alias("clean_chars"), F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every whole text of documents, learned from labels of the rows that aren't held out; empty texts score by the bias."""
     return quality.score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, longest rule and verdict of every url of pages; null urls have empty parts and no rule."""
     return url_filter.judge_urls(_read(spark, sf_dir, "pages"), url_filter.rule_frame(spark))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of equal texts of documents, of which the largest doc_id stays; null texts count as empty."""
     return exact_dedup.dedup_exact(_read(spark, sf_dir, "documents"), keep="largest")
 
 
 def op7_ann_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of each stated query vector of embeddings by inner product; null, zero and non-finite vectors take no part."""
     return ann_search.nearest(_read(spark, sf_dir, "embeddings"))
 
 
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every document, with its source's size and target; null sources are one source, null texts have size 0."""
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
 def op9_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents linked by a similarity of 0.8 or more of two-word shingles; texts without words are linked with nothing."""
     return near_dup.near_duplicates(_read(spark, sf_dir, "documents"), near_dup.NearDupParams(words=2))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2048 tokens; a null text is its closing id alone."""
     return packing.pack_documents(_read(spark, sf_dir, "documents"), vocabulary())
 
 
