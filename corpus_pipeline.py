@@ -13,22 +13,22 @@ from clickloom.session import stored
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on the labels of docs, accepts."""
+    """Documents that the classifier, fitted on the labels of docs, accepts; null and empty texts are judged by its bias."""
     return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts, the one with the smallest doc_id."""
+    """One document of each group of equal texts, the one with the smallest doc_id; null texts count as empty."""
     return exact_dedup.keep_one_of_each(docs, keep="smallest")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 or more of shingles of five words."""
+    """One document of each group linked by a similarity of 0.8 or more of shingles of five words; texts without words all stay."""
     return near_dup.keep_one_of_each_group(docs, near_dup.NearDupParams(words=5, percent=80))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources takes them."""
+    """Documents as often as the mix of sources takes them; those without words aren't taken."""
     return mixing.mixed_corpus(docs)
 
 
