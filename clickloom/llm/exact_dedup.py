@@ -38,7 +38,9 @@ class DigestIndex:
         return F.min(c) if self.keep == "smallest" else F.max(c)
 
     def _written(self, run: DataFrame, name: str) -> DataFrame:
-        return stored(run.withColumn("shard", _shard(F.col("digest"))).sortWithinPartitions("shard", "digest"), name, ["shard"], **_BLOOM)
+        """Dealt to tasks in the order of the digests, so that a task writes to a folder or two and not to all of them."""
+        dealt = run.withColumn("shard", _shard(F.col("digest"))).repartitionByRange("shard", "digest")
+        return stored(dealt.sortWithinPartitions("shard", "digest"), name, ["shard"], **_BLOOM)
 
     def flush(self, digests: DataFrame) -> None:
         """Add digests(digest, doc_id) as a run."""

@@ -70,3 +70,19 @@ def files(spark, run, shard):
     """How many files a scan of the run, or of one shard of it, reads."""
     rows = run if shard is None else run.filter(f"shard = {shard}")
     return rows.select(F.input_file_name()).distinct().count()
+
+
+def test_a_task_writes_to_few_folders_of_a_run(spark):
+    held = {c: spark.conf.get(c) for c in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        index = exact_dedup.DigestIndex(spark)
+        for g in range(2):
+            index.flush(exact_dedup.text_digests(spark.range(g * 2000, g * 2000 + 4000).selectExpr("id AS doc_id", "CAST(id AS string) AS text")))
+        merged = index.compact()
+        assert merged.count() == 6000 and merged.filter("group_size = 2").count() == 2000
+        assert len(index.runs[0].inputFiles()) <= 40 + exact_dedup.SHARDS
+    finally:
+        for c, v in held.items():
+            spark.conf.set(c, v)
