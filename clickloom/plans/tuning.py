@@ -13,11 +13,15 @@ from ..functions import metrics
 from ..functions.weights import DECAYS
 from ..operators import index, knn
 from ..operators.knn import KnnParams
+from ..session import stored
 from . import replay
 
 #: A fixed value: the grid of the published search.
 SEARCH_GRID = {"m": [100, 250, 500, 750, 1000, 2500], "k": [50, 100, 500, 1000, 1500], "max_items": [1, 2, 3, 5, 7, 15, 100]}
 
+#: Clicks of prefixes that a search tries at once.
+CLICKS_AT_ONCE = 250_000
+
 
 def grid(spark: SparkSession, values: dict[str, list[int]]) -> DataFrame:
     """All combinations, one column for each parameter; the lists are parameters, so their product is theirs to bound."""
@@ -48,8 +52,10 @@ def _longs(values: list[int]) -> Column:
 def search(evolving: DataFrame, history: DataFrame, combos: DataFrame, length: int = 20) -> DataFrame:
     """(m, k, max_items, mrr) of every combination with k <= m; max_items counts from 1.
 
-    One plan, whose rows carry their m, k and max_items (x): candidates are looked up once, for the largest m. Parameters that can't
+    Rows carry their m, k and max_items (x): candidates are looked up once, for the largest m. Parameters that can't
     differ for a prefix (no more clicks than x, candidates than m, neighbours than k) are worked out once and stand for each other.
+    All sessions are tried, in parts of about CLICKS_AT_ONCE clicks of prefixes, one part after the other: what a part shuffles is
+    removed before the next one begins, and its sums are all that stays.
     """
     names, spark = ["m", "k", "max_items"], evolving.sparkSession
     tried = combos.filter("k <= m").select(*[F.col(c).cast("long").alias(c) for c in names]).distinct()
@@ -57,20 +63,35 @@ def search(evolving: DataFrame, history: DataFrame, combos: DataFrame, length: i
     if not ms:
         return spark.createDataFrame([], "m long, k long, max_items long, mrr double")
     p = replace(KnnParams(), m=ms[-1], n=length)
-    prefixes = replay.prefixes(evolving)
+    prefixes = stored(replay.prefixes(evolving), "prefixes")
+    clicks = F.sum(reduce(lambda a, b: a + b, [F.least(F.lit(x), F.col("position")) for x in xs]))
+    n, clicks = prefixes.agg(F.count("*"), F.coalesce(clicks, F.lit(0))).first()
+    lists = stored(knn.recent_lists(history, p.m), "recent-lists")
+    items = history.select(F.col("SessionId").alias("sid"), F.col("ItemId").alias("item")).distinct()
+    idf = index.item_idf(history, p.idf).select(F.col("ItemId").alias("item"), "idf")
+    priced = stored(items.join(idf, "item").groupBy("sid").agg(F.collect_list(F.struct("item", "idf")).alias("items")), "priced-sessions")
+    parts = max(1, -(-clicks // CLICKS_AT_ONCE))
+    sums = [stored(_sums(prefixes.filter(F.pmod(F.xxhash64("SessionId"), F.lit(parts)) == i), lists, priced, tried, (ms, ks, xs), p), "search-sums") for i in range(parts)]
+    total = reduce(DataFrame.unionByName, sums).groupBy(*names).agg(F.sum("own").alias("own"))
+    mrr = F.coalesce("own", F.lit(0.0)) / F.nullif(F.lit(n), F.lit(0))
+    return tried.join(F.broadcast(total), names, "left").select(*names, mrr.alias("mrr"))
+
+
+def _sums(prefixes: DataFrame, lists: DataFrame, priced: DataFrame, tried: DataFrame, values: tuple[list[int], ...], p: KnnParams) -> DataFrame:
+    """(m, k, max_items, own) of every combination tried: the sum of the reciprocal ranks over these prefixes."""
+    (ms, ks, xs), names, length = values, ["m", "k", "max_items"], p.n
     rows = prefixes.withColumn("x", F.explode(F.array_distinct(F.transform(_longs(xs), lambda x: F.least(x.cast("int"), F.col("position"))))))
     rows = rows.withColumn("history", F.slice("history", F.col("position") - F.col("x") + 1, F.col("x"))).withColumn("eid", F.concat_ws(":", "SessionId", "position", "x"))
     clicks = rows.select("eid", F.posexplode("history").alias("at", "item")).select("eid", "item", (F.col("at") + 1).cast("long").alias("pos"))
     own, of_m = Window.partitionBy("eid"), Window.partitionBy("eid", "m")
-    near = knn.candidates(clicks, history, p).withColumn("r", F.row_number().over(own.orderBy(F.desc("time"), F.desc("sid"))))
+    near = knn.candidates(clicks, None, p, lists).withColumn("r", F.row_number().over(own.orderBy(F.desc("time"), F.desc("sid"))))
     near = near.withColumn("m_top", _least_over(ms, F.count("*").over(own)))
     near = near.withColumn("m", F.explode(F.filter(_longs(ms), lambda m: (m >= F.col("r")) & (m <= F.col("m_top"))))).filter("sim > 0")
     near = near.withColumn("j", F.row_number().over(of_m.orderBy(F.round("sim", 9).desc(), F.desc("time"), F.desc("sid"))))
     near = near.withColumn("k_top", _least_over(ks, F.count("*").over(of_m))).filter("j <= k_top")
-    items = history.select(F.col("SessionId").alias("sid"), F.col("ItemId").alias("item")).distinct()
-    idf = index.item_idf(history, p.idf).select(F.col("ItemId").alias("item"), "idf")
     part = DECAYS[p.decay](F.col("step")) * F.col("sim")
-    sums = near.join(items.join(idf, "item"), "sid").repartition("eid").groupBy("eid", "m", "m_top", "k_top", "item")
+    # A neighbour is shuffled once by eid, and unfolded after that.
+    sums = near.join(priced, "sid").repartition("eid").select("eid", "m", "m_top", "k_top", "j", "step", "sim", F.inline("items")).groupBy("eid", "m", "m_top", "k_top", "item")
     sums = sums.agg(F.max("idf").alias("idf"), F.array(*[F.struct(F.lit(k).cast("long").alias("k"), F.sum(F.when(F.col("j") <= k, part)).alias("s")) for k in ks]).alias("by_k"))
     scores = sums.select("eid", "m", "m_top", "k_top", "item", "idf", F.inline("by_k")).filter("k <= k_top AND s IS NOT NULL").withColumn("score", F.col("s") * F.col("idf"))
     scores = scores.join(rows.select("eid", F.element_at("history", -1).alias("last")), "eid").filter("item != last")
@@ -79,9 +100,7 @@ def search(evolving: DataFrame, history: DataFrame, combos: DataFrame, length: i
     top = scores.withColumn("rank", rank).filter(F.col("rank") <= length).groupBy(*case).agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "item"))), lambda x: x["item"]).alias("recs"))
     found = top.join(rows.select("eid", "position", "x", "next_items"), "eid").select(*[F.col(c).alias(f"_{c}") for c in ("m", "m_top", "k", "k_top", "position", "x")], metrics.mrr(F.col("recs"), F.col("next_items"), length).alias("own"))
     same = (F.least("m", "_m_top") == F.col("_m")) & (F.least("k", "_k_top") == F.col("_k")) & (F.least("max_items", "_position") == F.col("_x"))
-    total = found.join(F.broadcast(tried), same).groupBy(*names).agg(F.sum("own").alias("own"))
-    mrr = F.coalesce("own", F.lit(0.0)) / F.nullif(F.col("n"), F.lit(0))
-    return tried.join(F.broadcast(total), names, "left").crossJoin(prefixes.agg(F.count("*").alias("n"))).select(*names, mrr.alias("mrr"))
+    return found.join(F.broadcast(tried), same).groupBy(*names).agg(F.sum("own").alias("own"))
 
 
 def best(results: DataFrame) -> DataFrame:

@@ -28,3 +28,17 @@ def test_a_registered_search_covers_the_published_grid(spark, monkeypatch):
     row = entry.queries()["hyperparam_search"](spark, "/root/testdata/sf0.001").first()
     assert asked[0].filter("k <= m").count() == 133
     assert all(row[c] in tuning.SEARCH_GRID[c] for c in ("m", "k", "max_items")) and row["mrr"] > 0
+
+
+def test_a_search_in_parts_equals_one_at_once(spark, monkeypatch):
+    rng = random.Random(4)
+    history = spark.createDataFrame([(s, rng.randrange(12), 100 * s + n) for s in range(40) for n in range(3)], "SessionId long, ItemId long, Time long")
+    evolving = spark.createDataFrame([(s, rng.randrange(14), n) for s in range(12) for n in range(1, 5)], "eid long, item long, pos long")
+    found, written = [], []
+    monkeypatch.setattr(tuning, "stored", lambda df, name, f=tuning.stored: written.append(name) or f(df, name))
+    for at_once in (10**9, 40):
+        monkeypatch.setattr(tuning, "CLICKS_AT_ONCE", at_once)
+        combos = tuning.grid(spark, {"m": [3, 100], "k": [2, 50], "max_items": [1, 10]})
+        found.append({(r["m"], r["k"], r["max_items"]): round(r["mrr"], 9) for r in tuning.search(evolving, history, combos, 5).collect()})
+    assert found[0] == found[1] and len(found[0]) == 6
+    assert written.count("search-sums") > 2
