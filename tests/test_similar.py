@@ -1,5 +1,7 @@
 import random
 from itertools import combinations
+from pathlib import Path
+from urllib.parse import unquote, urlparse
 
 import pytest
 from pyspark.sql import functions as F
@@ -50,6 +52,33 @@ def test_a_common_item_gives_no_row_for_each_pair(spark, monkeypatch):
     assert sum(t.count() for t in written.values()) < 4 * 3000
 
 
+@pytest.mark.parametrize("kind", KINDS)
+def test_copies_of_sessions_weigh_as_many_without_a_row_for_each_pair(spark, kind, monkeypatch):
+    written = {}
+    monkeypatch.setattr(similar, "stored", lambda df, name, f=similar.stored: written.setdefault(name, f(df, name)))
+    rows = [(10 * s + k, i) for s, items in enumerate(((1, 2, 3), (1, 2, 4), (3,), (5, 6), tuple(range(70)))) for k in range(6 + s) for i in items]
+    want = brute(spark, rows, kind)
+    got = {r["eid"]: tuple(r)[1:] for r in similar.similar_sessions(spark.createDataFrame(rows, "SessionId long, ItemId long"), kind).collect()}
+    assert set(got) == set(want)
+    for s, (n, total, most) in want.items():
+        assert got[s][0] == n and got[s][1] == pytest.approx(total) and got[s][2] == pytest.approx(most)
+    assert written["pairs"].count() == 4  # of classes, where sessions would give hundreds
+
+
+@pytest.mark.parametrize("kind", ["jaccard", "cosine_legacy"])
+def test_parts_give_the_same_sums_and_leave_no_table_that_none_reads(spark, kind, monkeypatch):
+    monkeypatch.setattr(similar, "PART_ITEMS", 50)
+    gone = []
+    monkeypatch.setattr(similar, "discard", lambda table, f=similar.discard: gone.append((table.inputFiles()[0], f(table))))
+    rows = clicks_of(7)
+    want = brute(spark, rows, kind)
+    got = {r["eid"]: tuple(r)[1:] for r in similar.similar_sessions(spark.createDataFrame(rows, "SessionId long, ItemId long"), kind).collect()}
+    assert set(got) == set(want)
+    for s, (n, total, most) in want.items():
+        assert got[s][0] == n and got[s][1] == pytest.approx(total) and got[s][2] == pytest.approx(most)
+    assert len(gone) == 2 and not any(Path(unquote(urlparse(f).path)).parent.exists() for f, _ in gone)
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
     import time
 
