@@ -6,6 +6,7 @@ from dataclasses import astuple
 import numpy as np
 import pyarrow as pa
 
+from clickloom.llm import packing
 from clickloom.llm.packing import CapacityTree, Encoder, best_fit_runs, cut, pack_documents
 from clickloom.llm.queries import vocabulary
 
@@ -90,3 +91,13 @@ def test_pieces_cover_documents_and_sequences_without_gaps(spark):
     assert len(seqs) == len(sequential_best_fit([r["length"] for r in out], 2048))
     assert pack_documents(docs.limit(0), vocabulary()).count() == 0
     assert cut(2048, 2048) == [(0, 2048)] and cut(4097, 2048) == [(0, 1), (1, 2048), (2049, 2048)]
+
+
+def test_encoder_holds_no_more_words_than_its_limit(monkeypatch):
+    monkeypatch.setattr(packing, "HELD_WORDS", 5)
+    encoder = Encoder(*astuple(vocabulary()))
+    texts = [" ".join(f"word{i * j}" for j in range(1, 9)) for i in range(40)]
+    for _ in range(2):
+        got = encoder.batch(pa.array(texts))
+        assert len(encoder.held) == 5
+        assert got == [np.array(encoder.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
