@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import map_batches
+from .arrow import map_batches, release
 from .wordhash import chunks, mix, word_hashes, words
 
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -139,8 +139,10 @@ def _score_batches(weights: np.ndarray, bias: float, p: QualityParams, texts: li
 
 
 def _model(docs: DataFrame, labels: DataFrame, p: QualityParams):
-    texts, marks = training_rows(docs, labels, p)
-    return docs.sparkSession.sparkContext.broadcast(train(texts, marks, p))
+    """The broadcast model; what the driver's Python needed for it is given back, as the driver stays for what follows."""
+    model = train(*training_rows(docs, labels, p), p)
+    release()
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, params: QualityParams | None = None) -> DataFrame:
