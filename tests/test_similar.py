@@ -79,6 +79,22 @@ def test_parts_give_the_same_sums_and_leave_no_table_that_none_reads(spark, kind
     assert len(gone) == 2 and not any(Path(unquote(urlparse(f).path)).parent.exists() for f, _ in gone)
 
 
+@pytest.mark.parametrize("length", [5, similar.LONG + 1])
+def test_short_sessions_are_shuffled_neither_for_long_ones_nor_for_copies(spark, length, monkeypatch):
+    plans = {}
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(similar, "stored", lambda df, name, f=similar.stored: (plans.setdefault(name, plan(df)), f(df, name))[1])
+    rows = [(s, i) for s in range(40) for i in (s % 7, 7 + s % 5)] + [(50, i) for i in range(length)]
+    want = brute(spark, rows, "binary")
+    found = similar.similar_sessions(spark.createDataFrame(rows, "SessionId long, ItemId long"), "binary")
+    got = {r["eid"]: tuple(r)[1:] for r in found.collect()}
+    assert set(got) == set(want)
+    for s, (n, total, most) in want.items():
+        assert got[s][0] == n and got[s][1] == pytest.approx(total) and got[s][2] == pytest.approx(most)
+    assert "Exchange hashpartitioning(item" not in plans["pairs"] and ("Generate" in plans["pairs"]) == (length > similar.LONG)
+    assert "Exchange hashpartitioning" not in plan(found)
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
     import time
 
