@@ -95,6 +95,29 @@ def test_short_sessions_are_shuffled_neither_for_long_ones_nor_for_copies(spark,
     assert "Exchange hashpartitioning" not in plan(found)
 
 
+@pytest.mark.parametrize("kind", ["binary", "cosine_legacy"])
+def test_a_part_of_the_classes_goes_when_its_sums_are_written(spark, kind, monkeypatch):
+    monkeypatch.setattr(similar, "PART_ITEMS", 50)
+    exists = lambda f: Path(unquote(urlparse(f).path)).parent.exists()
+    files, left = {}, []
+
+    def noted(df, name, *rest, f):
+        out = f(df, name, *rest)
+        files[name] = out.inputFiles()[0]
+        left.append(sum(exists(x) for n, x in files.items() if n.startswith("item-classes")) if name.startswith("shared-once") else None)
+        return out
+
+    for maker in ("stored", "moved"):
+        monkeypatch.setattr(similar, maker, lambda *a, f=getattr(similar, maker, None): noted(*a, f=f), raising=False)
+    rows = clicks_of(8)
+    want = brute(spark, rows, kind)
+    got = {r["eid"]: tuple(r)[1:] for r in similar.similar_sessions(spark.createDataFrame(rows, "SessionId long, ItemId long"), kind).collect()}
+    assert set(got) == set(want)
+    for s, (n, total, most) in want.items():
+        assert got[s][0] == n and got[s][1] == pytest.approx(total) and got[s][2] == pytest.approx(most)
+    assert [x for x in left if x is not None] == list(reversed(range(similar.PARTS)))
+
+
 def test_a_written_table_leaves_no_shuffle_files(spark, tmp_path):
     import time
 
