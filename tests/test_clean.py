@@ -67,3 +67,10 @@ def test_catalog_flags_and_subgraph(spark):
     near, sessions = index.seed_subgraph(index.item_index(h), 2)
     assert {r["ItemId"]: r["session_indices_time_ordered"] for r in near.collect()} == {1: [1], 2: [2, 1], 3: [2]}
     assert {r["SessionId"]: r["item_ids_asc"] for r in sessions.collect()} == {1: [1, 2], 2: [2, 3]}
+
+
+def test_last_items_of_equal_clicks_do_not_depend_on_the_rows_order(spark):
+    rows = [(1, 7, 30, 2), (1, 7, 10, 2), (1, 7, 20, 2), (1, 9, 5, 1)]
+    for given in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = clean.last_items(spark.createDataFrame(given, "SessionId long, ItemId long, Time long, pos long").coalesce(1), 2).collect()
+        assert sorted(r["Time"] for r in got) == [10, 20]
