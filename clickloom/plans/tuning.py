@@ -11,8 +11,10 @@ from pyspark.sql.window import Window
 
 from ..functions import metrics
 from ..functions.weights import DECAYS
-from ..operators import index, knn
+from ..operators import knn
+from ..operators.clean import top_sessions_per_item
 from ..operators.knn import KnnParams
+from ..operators.skew import split_join
 from ..session import stored
 from . import replay
 
@@ -21,6 +23,10 @@ SEARCH_GRID = {"m": [100, 250, 500, 750, 1000, 2500], "k": [50, 100, 500, 1000,
 
 #: Clicks of prefixes that a search tries at once.
 CLICKS_AT_ONCE = 250_000
+#: Clicks of an evolving session whose lists are compared in one row; sessions with more are compared by joins alone.
+PACKED_CLICKS = 200
+#: Keys of a semi join are broadcast up to so many.
+BROADCAST_KEYS = 1_000_000
 
 
 def grid(spark: SparkSession, values: dict[str, list[int]]) -> DataFrame:
@@ -54,7 +60,8 @@ def search(evolving: DataFrame, history: DataFrame, combos: DataFrame, length: i
 
     Rows carry their m, k and max_items (x): candidates are looked up once, for the largest m. Parameters that can't
     differ for a prefix (no more clicks than x, candidates than m, neighbours than k) are worked out once and stand for each other.
-    All sessions are tried, in parts of about CLICKS_AT_ONCE clicks of prefixes, one part after the other: what a part shuffles is
+    All sessions are tried. Prefixes whose next item no session can recommend add 0 for certain and are only counted (reachable());
+    of the others, parts of about CLICKS_AT_ONCE clicks are worked out one after the other: what a part shuffles is
     removed before the next one begins, and its sums are all that stays.
     """
     names, spark = ["m", "k", "max_items"], evolving.sparkSession
@@ -63,12 +70,21 @@ def search(evolving: DataFrame, history: DataFrame, combos: DataFrame, length: i
     if not ms:
         return spark.createDataFrame([], "m long, k long, max_items long, mrr double")
     p = replace(KnnParams(), m=ms[-1], n=length)
-    prefixes = stored(replay.prefixes(evolving), "prefixes")
-    clicks = F.sum(reduce(lambda a, b: a + b, [F.least(F.lit(x), F.col("position")) for x in xs]))
-    n, clicks = prefixes.agg(F.count("*"), F.coalesce(clicks, F.lit(0))).first()
-    lists = stored(knn.recent_lists(history, p.m), "recent-lists")
-    items = history.select(F.col("SessionId").alias("sid"), F.col("ItemId").alias("item")).distinct()
-    idf = index.item_idf(history, p.idf).select(F.col("ItemId").alias("item"), "idf")
+    in_order = Window.partitionBy("eid").orderBy("pos", "item")
+    evolving = evolving.filter("eid IS NOT NULL").select("eid", "item", F.row_number().over(in_order).cast("long").alias("pos"))
+    pairs = stored(session_items(history), "session-items")
+    lists = stored(knn.packed_lists(top_sessions_per_item(pairs, p.m)).withColumn("n", F.size("list")), "recent-lists")
+    near = stored(reachable(evolving, lists, p.m), "reachable")
+    n = evolving.filter("pos > 1").count()
+    tests = evolving.join(_few(near.select("eid").distinct()), "eid", "left_semi")
+    prefixes = stored(replay.prefixes(tests).join(near.withColumnRenamed("eid", "SessionId"), ["SessionId", "position"]), "prefixes")
+    clicks = F.sum(reduce(lambda a, b: a + b, [F.when(F.lit(x) >= F.col("least"), F.least(F.lit(x), F.col("position"))).otherwise(F.lit(0)) for x in xs]))
+    clicks = prefixes.agg(F.coalesce(clicks, F.lit(0))).first()[0]
+    idf = item_idf(pairs, lists, p.m)
+    asked = _few(prefixes.select(F.explode("history").alias("item")).distinct())
+    lists = stored(lists.join(asked, "item", "left_semi").select("item", "list"), "asked-lists")
+    wanted = lists.select(F.explode("list.sid").alias("sid")).distinct()
+    items = pairs.select(F.col("SessionId").alias("sid"), F.col("ItemId").alias("item")).join(wanted, "sid", "left_semi")
     priced = stored(items.join(idf, "item").groupBy("sid").agg(F.collect_list(F.struct("item", "idf")).alias("items")), "priced-sessions")
     parts = max(1, -(-clicks // CLICKS_AT_ONCE))
     sums = [stored(_sums(prefixes.filter(F.pmod(F.xxhash64("SessionId"), F.lit(parts)) == i), lists, priced, tried, (ms, ks, xs), p), "search-sums") for i in range(parts)]
@@ -77,10 +93,51 @@ def search(evolving: DataFrame, history: DataFrame, combos: DataFrame, length: i
     return tried.join(F.broadcast(total), names, "left").select(*names, mrr.alias("mrr"))
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """keys, which are broadcast if there are few."""
+    return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys
+
+
+def session_items(history: DataFrame) -> DataFrame:
+    """(SessionId, ItemId, Time): each session's distinct items with the session's last time, by one shuffle."""
+    items = history.filter("SessionId IS NOT NULL").repartition("SessionId").groupBy("SessionId", "ItemId").agg(F.max("Time").alias("own"))
+    return items.select("SessionId", "ItemId", F.max("own").over(Window.partitionBy("SessionId")).alias("Time"))
+
+
+def reachable(evolving: DataFrame, lists: DataFrame, m: int) -> DataFrame:
+    """(eid, position, least): the prefixes whose next item may be recommended, from their last `least` clicks on; no other prefix's can.
+
+    An item is recommended only if a session that holds it is on the list of one of the clicks used. A list of fewer than m sessions has
+    all sessions with its item, so that the two items' lists then share a session; next items with longer lists are all kept. Sessions
+    are told apart by 32-bit hashes, whose collisions keep more prefixes, never fewer. Most evolving sessions have no two clicks with
+    a session in common, and are passed over whole.
+    """
+    seen = F.transform("list", lambda s: F.hash(s["sid"])).alias("seen")
+    rows = split_join(evolving.select("eid", "item", "pos"), lists.select("item", seen), "item", "eid").select("eid", "pos", "seen").repartition("eid")
+    packed = rows.withColumn("block", F.floor(F.col("pos") / PACKED_CLICKS)).groupBy("eid", "block").agg(F.collect_list(F.struct("pos", "seen")).alias("clicks"))
+    packed = packed.withColumn("blocks", F.count("*").over(Window.partitionBy("eid")))
+    every = F.flatten("clicks.seen")
+    meets = (F.col("blocks") > 1) | F.exists("clicks", lambda c: F.size(c["seen"]) >= m) | (F.size(F.array_distinct(every)) < F.size(every))
+    clicks = packed.filter(meets).select("eid", F.inline("clicks"))
+    met = clicks.select("eid", "pos", F.explode("seen").alias("session"))
+    met = met.select("eid", "pos", (F.col("pos") - F.lag("pos").over(Window.partitionBy("eid", "session").orderBy("pos"))).alias("least")).filter("least > 0")
+    full = clicks.filter((F.size("seen") >= m) & (F.col("pos") > 1)).select("eid", "pos", F.lit(1).cast("long").alias("least"))
+    return met.unionByName(full).groupBy("eid", (F.col("pos") - 1).cast("int").alias("position")).agg(F.min("least").alias("least"))
+
+
+def item_idf(pairs: DataFrame, lists: DataFrame, m: int) -> DataFrame:
+    """(item, idf) by sessions: a list of fewer than m sessions says how many an item has, and only the others are counted."""
+    total = pairs.agg(F.countDistinct("SessionId").alias("N"))
+    df = lists.filter(F.col("n") < m).select("item", F.col("n").cast("long").alias("df"))
+    longer = _few(lists.filter(F.col("n") >= m).select("item"))
+    counted = pairs.select(F.col("ItemId").alias("item")).join(longer, "item", "left_semi").groupBy("item").agg(F.count("*").alias("df"))
+    return df.unionByName(counted).join(F.broadcast(total)).select("item", F.log(F.col("N") / F.col("df")).alias("idf"))
+
+
 def _sums(prefixes: DataFrame, lists: DataFrame, priced: DataFrame, tried: DataFrame, values: tuple[list[int], ...], p: KnnParams) -> DataFrame:
     """(m, k, max_items, own) of every combination tried: the sum of the reciprocal ranks over these prefixes."""
     (ms, ks, xs), names, length = values, ["m", "k", "max_items"], p.n
-    rows = prefixes.withColumn("x", F.explode(F.array_distinct(F.transform(_longs(xs), lambda x: F.least(x.cast("int"), F.col("position"))))))
+    rows = prefixes.withColumn("x", F.explode(F.array_distinct(F.transform(_longs(xs), lambda x: F.least(x.cast("int"), F.col("position")))))).filter("x >= least")
     rows = rows.withColumn("history", F.slice("history", F.col("position") - F.col("x") + 1, F.col("x"))).withColumn("eid", F.concat_ws(":", "SessionId", "position", "x"))
     clicks = rows.select("eid", F.posexplode("history").alias("at", "item")).select("eid", "item", (F.col("at") + 1).cast("long").alias("pos"))
     own, of_m = Window.partitionBy("eid"), Window.partitionBy("eid", "m")

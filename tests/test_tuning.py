@@ -42,3 +42,34 @@ def test_a_search_in_parts_equals_one_at_once(spark, monkeypatch):
         found.append({(r["m"], r["k"], r["max_items"]): round(r["mrr"], 9) for r in tuning.search(evolving, history, combos, 5).collect()})
     assert found[0] == found[1] and len(found[0]) == 6
     assert written.count("search-sums") > 2
+
+
+def test_only_prefixes_whose_next_item_a_session_can_recommend_are_searched(spark, monkeypatch):
+    history = spark.createDataFrame([(s, i, s) for s, items in enumerate([(1, 2), (3, 4), (5, 6), (7, 8, 9)]) for i in items], "SessionId long, ItemId long, Time long")
+    clicks = {10: [1, 2, 9], 11: [3, 5], 12: [1, 7, 2], 13: [9, 99, 8, 7], 14: [4]}
+    # Positions with gaps are numbered anew.
+    evolving = spark.createDataFrame([(e, i, 10 * n) for e, items in clicks.items() for n, i in enumerate(items)], "eid long, item long, pos long")
+    tables = {}
+    monkeypatch.setattr(tuning, "stored", lambda df, name, f=tuning.stored: tables.setdefault(name, f(df, name)))
+    got = {r["max_items"]: r["mrr"] for r in tuning.search(evolving, history, tuning.grid(spark, {"m": [100], "k": [50], "max_items": [1, 2]})).collect()}
+    kept = sorted((r["SessionId"], r["position"], r["least"]) for r in tables["prefixes"].collect())
+    assert kept == [(10, 1, 1), (12, 2, 2), (13, 2, 2), (13, 3, 1)]  # of 8
+    for x in got:
+        want = metrics.means(replay.predictions(evolving, history, replace(KnnParams(), m=100, k=50, n=20), x), 20).first()["mrr"]
+        assert abs(got[x] - want) < 1e-9
+    assert got[1] < got[2]
+
+
+def test_a_search_with_full_lists_long_and_repeating_sessions_equals_replays(spark, monkeypatch):
+    monkeypatch.setattr(tuning, "PACKED_CLICKS", 5)
+    rng = random.Random(8)
+    past = [(s, rng.randrange(40), 100 * s + n) for s in range(50) for n in range(rng.randrange(1, 6))] + [(60 + s, 77, 9) for s in range(9)]
+    now = [(s, rng.randrange(44), n) for s in range(30) for n in range(rng.randrange(1, 12))] + [(40, 77, 0), (40, 77, 1), (40, 3, 2)]
+    history = spark.createDataFrame(past, "SessionId long, ItemId long, Time long")
+    evolving = spark.createDataFrame(now, "eid long, item long, pos long")
+    combos = tuning.grid(spark, {"m": [3, 5], "k": [2, 5], "max_items": [1, 3, 10]})
+    got = {(r["m"], r["k"], r["max_items"]): r["mrr"] for r in tuning.search(evolving, history, combos, 5).collect()}
+    assert len(got) == 9 and max(got.values()) > 0
+    for m, k, x in [(3, 2, 1), (5, 2, 3), (5, 5, 10)]:
+        want = metrics.means(replay.predictions(evolving, history, replace(KnnParams(), m=m, k=k, n=5), x), 5).first()["mrr"]
+        assert abs(got[m, k, x] - want) < 1e-9
