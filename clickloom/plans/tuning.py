@@ -23,6 +23,8 @@ SEARCH_GRID = {"m": [100, 250, 500, 750, 1000, 2500], "k": [50, 100, 500, 1000,
 
 #: Clicks of prefixes that a search tries at once.
 CLICKS_AT_ONCE = 250_000
+#: Sessions on the lists of evolving clicks, counted for each click, that are compared at once.
+LISTED_AT_ONCE = 150_000_000
 #: Clicks of an evolving session whose lists are compared in one row; sessions with more are compared by joins alone.
 PACKED_CLICKS = 200
 #: Keys of a semi join are broadcast up to so many.
@@ -60,7 +62,7 @@ def search(evolving: DataFrame, history: DataFrame, combos: DataFrame, length: i
 
     Rows carry their m, k and max_items (x): candidates are looked up once, for the largest m. Parameters that can't
     differ for a prefix (no more clicks than x, candidates than m, neighbours than k) are worked out once and stand for each other.
-    All sessions are tried. Prefixes whose next item no session can recommend add 0 for certain and are only counted (reachable());
+    All sessions are tried. Prefixes whose next item no session can recommend add 0 for certain and are only counted (reachable(), in parts of LISTED_AT_ONCE);
     of the others, parts of about CLICKS_AT_ONCE clicks are worked out one after the other: what a part shuffles is
     removed before the next one begins, and its sums are all that stays.
     """
@@ -71,10 +73,11 @@ def search(evolving: DataFrame, history: DataFrame, combos: DataFrame, length: i
         return spark.createDataFrame([], "m long, k long, max_items long, mrr double")
     p = replace(KnnParams(), m=ms[-1], n=length)
     in_order = Window.partitionBy("eid").orderBy("pos", "item")
-    evolving = evolving.filter("eid IS NOT NULL").select("eid", "item", F.row_number().over(in_order).cast("long").alias("pos"))
+    evolving = stored(evolving.filter("eid IS NOT NULL").select("eid", "item", F.row_number().over(in_order).cast("long").alias("pos")), "evolving")
     pairs = stored(session_items(history), "session-items")
     lists = stored(knn.packed_lists(top_sessions_per_item(pairs, p.m)).withColumn("n", F.size("list")), "recent-lists")
-    near = stored(reachable(evolving, lists, p.m), "reachable")
+    listed = evolving.groupBy("item").agg(F.count("*").alias("clicks")).join(lists.select("item", "n"), "item").agg(F.coalesce(F.sum(F.col("clicks") * F.col("n")), F.lit(0))).first()[0]
+    near = reduce(DataFrame.unionByName, [stored(reachable(own, lists, p.m), "reachable") for own in _dealt(evolving, "eid", listed, LISTED_AT_ONCE)])
     n = evolving.filter("pos > 1").count()
     tests = evolving.join(_few(near.select("eid").distinct()), "eid", "left_semi")
     prefixes = stored(replay.prefixes(tests).join(near.withColumnRenamed("eid", "SessionId"), ["SessionId", "position"]), "prefixes")
@@ -86,13 +89,18 @@ def search(evolving: DataFrame, history: DataFrame, combos: DataFrame, length: i
     wanted = lists.select(F.explode("list.sid").alias("sid")).distinct()
     items = pairs.select(F.col("SessionId").alias("sid"), F.col("ItemId").alias("item")).join(wanted, "sid", "left_semi")
     priced = stored(items.join(idf, "item").groupBy("sid").agg(F.collect_list(F.struct("item", "idf")).alias("items")), "priced-sessions")
-    parts = max(1, -(-clicks // CLICKS_AT_ONCE))
-    sums = [stored(_sums(prefixes.filter(F.pmod(F.xxhash64("SessionId"), F.lit(parts)) == i), lists, priced, tried, (ms, ks, xs), p), "search-sums") for i in range(parts)]
+    sums = [stored(_sums(own, lists, priced, tried, (ms, ks, xs), p), "search-sums") for own in _dealt(prefixes, "SessionId", clicks, CLICKS_AT_ONCE)]
     total = reduce(DataFrame.unionByName, sums).groupBy(*names).agg(F.sum("own").alias("own"))
     mrr = F.coalesce("own", F.lit(0.0)) / F.nullif(F.lit(n), F.lit(0))
     return tried.join(F.broadcast(total), names, "left").select(*names, mrr.alias("mrr"))
 
 
+def _dealt(rows: DataFrame, session: str, size: int, at_once: int) -> list[DataFrame]:
+    """rows by their session in parts, each of about at_once of their size."""
+    parts = max(1, -(-size // at_once))
+    return [rows.filter(F.pmod(F.xxhash64(session), F.lit(parts)) == i) for i in range(parts)]
+
+
 def _few(keys: DataFrame) -> DataFrame:
     """keys, which are broadcast if there are few."""
     return F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys

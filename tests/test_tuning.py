@@ -62,6 +62,9 @@ def test_only_prefixes_whose_next_item_a_session_can_recommend_are_searched(spar
 
 def test_a_search_with_full_lists_long_and_repeating_sessions_equals_replays(spark, monkeypatch):
     monkeypatch.setattr(tuning, "PACKED_CLICKS", 5)
+    monkeypatch.setattr(tuning, "LISTED_AT_ONCE", 150)
+    written = []
+    monkeypatch.setattr(tuning, "stored", lambda df, name, f=tuning.stored: written.append(name) or f(df, name))
     rng = random.Random(8)
     past = [(s, rng.randrange(40), 100 * s + n) for s in range(50) for n in range(rng.randrange(1, 6))] + [(60 + s, 77, 9) for s in range(9)]
     now = [(s, rng.randrange(44), n) for s in range(30) for n in range(rng.randrange(1, 12))] + [(40, 77, 0), (40, 77, 1), (40, 3, 2)]
@@ -69,7 +72,7 @@ def test_a_search_with_full_lists_long_and_repeating_sessions_equals_replays(spa
     evolving = spark.createDataFrame(now, "eid long, item long, pos long")
     combos = tuning.grid(spark, {"m": [3, 5], "k": [2, 5], "max_items": [1, 3, 10]})
     got = {(r["m"], r["k"], r["max_items"]): r["mrr"] for r in tuning.search(evolving, history, combos, 5).collect()}
-    assert len(got) == 9 and max(got.values()) > 0
+    assert len(got) == 9 and max(got.values()) > 0 and written.count("reachable") > 1
     for m, k, x in [(3, 2, 1), (5, 2, 3), (5, 5, 10)]:
         want = metrics.means(replay.predictions(evolving, history, replace(KnnParams(), m=m, k=k, n=5), x), 5).first()["mrr"]
         assert abs(got[m, k, x] - want) < 1e-9
